@@ -19,18 +19,21 @@ from pyspark.sql import functions as F
 from kinforge.llm.runtime import batch, map_batches, settle
 
 WIDTH, ORDER = 12, 4
-#: Character numbers: 0 starts a text, 1 stands for a word that repeats the one before it, rare code points share the top numbers.
-REPEAT, OTHER = 1, 4000
+#: Character numbers: 0 starts a text; REPEAT + k stands for the k-th repetition of a word in a row, up to RUN; rare code points share the top numbers.
+REPEAT, RUN, OTHER = 3900, 90, 4000
 SHARD = 1 << 22
 BATCH_CHARS = 2_000_000
 
 
 def without_repeats(text: str) -> str:
-    """The text with a REPEAT character in place of each word that equals the one before it."""
+    """The text with a character for the k-th repetition in place of each word that equals the one before it."""
     words = text.split(" ")
-    if len(words) > 1 and any(a == b and a for a, b in zip(words, words[1:], strict=False)):
-        words = [words[0], *(chr(REPEAT) if a == b and a else b for a, b in zip(words, words[1:], strict=False))]
-        return " ".join(words)
+    if any(map(str.__eq__, words, words[1:])):
+        out, run = [words[0]], 0
+        for a, b in zip(words, words[1:], strict=False):
+            run = min(run + 1, RUN) if a == b and a else 0
+            out.append(chr(REPEAT + run) if run else b)
+        return " ".join(out)
     return text
 
 

@@ -2,8 +2,8 @@
 
 Trusted text is what the labels call good. Four of five trusted documents train an interpolated modified Kneser-Ney
 character model; the rest, which the model hasn't seen, give the quantiles. A document is rejected when its perplexity
-lies above its language's threshold: the QUANTILE of trusted perplexities, stretched by SLACK times the distance
-from the median. A language without trusted held-out documents gets the threshold over all languages. Short texts are drawn
+lies above its language's threshold: the QUANTILE of trusted perplexities (in nats a character), stretched by SLACK times
+its distance from the median, and at least MARGIN above the median. A language without trusted held-out documents gets the threshold over all languages. Short texts are drawn
 towards the median, as if PSEUDO characters of typical text came with them.
 
 Null and empty texts have no characters and so sit at the median: they are kept. A null language is a language of its
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kinforge.llm import kneser
 from kinforge.llm.runtime import settle
 
-QUANTILE, SLACK, PSEUDO = 0.99, 1.0, 100
+QUANTILE, SLACK, MARGIN, PSEUDO = 0.99, 1.0, 0.6, 100
 #: Labels are joined by broadcast up to this many rows, and by a shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 
@@ -43,7 +43,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = settle(kneser.log_likelihoods(kept, table, ["kept", "_id", "_lang"], text_col))
     bits = -F.col("loglik") / F.greatest(F.col("n_grams"), F.lit(1))
     held_out = scored.join(small(trusted.filter("_fold = 0")), "_id", "left_semi").filter("n_grams >= 20").withColumn("bits", bits)
-    cut = lambda c: F.col(f"{c}.q")[1] + slack * (F.col(f"{c}.q")[1] - F.col(f"{c}.q")[0])
+    cut = lambda c: F.greatest(F.col(f"{c}.q")[1] + slack * (F.col(f"{c}.q")[1] - F.col(f"{c}.q")[0]), F.col(f"{c}.q")[0] + MARGIN)
     by_lang = held_out.groupBy("_lang").agg(F.percentile("bits", [0.5, quantile]).alias("q"))
     overall = held_out.agg(F.percentile("bits", [0.5, quantile]).alias("q"))
     edges = by_lang.alias("l").select("_lang", F.col("q")[0].alias("typical"), cut("l").alias("edge"))

@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinforge.llm import exact, mixing, packing, quality
+from kinforge.llm import exact, jaccard, mixing, packing, quality
 from kinforge.llm.runtime import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,15 +26,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
-    from kinforge.llm import jaccard
-
     return jaccard.drop_near_copies(docs, words=5, share=(4, 5)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as a mix of the sources by weight takes them."""
-    from pyspark.sql import functions as F
-
     chosen = mixing.mix(docs, keep=COLUMNS).filter("copies > 0")
     return chosen.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 

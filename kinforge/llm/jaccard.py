@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kinforge.llm.components import connected
 from kinforge.llm.kneser import in_bulk
-from kinforge.llm.runtime import batch, map_batches, settle, texts
+from kinforge.llm.runtime import batch, grouped, map_batches, settle, texts
 
 GROUPS, LEAF, CHUNK = 64, 32, 4096
 #: Frequent shingles: entries of the list, of a partition's share of it, and the least count there.
@@ -193,48 +193,25 @@ def search_blocks(members: DataFrame, share: tuple[int, int], first_only: bool)
     """a, b: possible pairs within blocks (key, part, chunk, c, n, label, point); part is lower and higher chunk in one number."""
 
     def each(batches):
-        held, at = None, None
-
-        def blocks(final=False):
-            nonlocal held
-            if held is None or not held.num_rows:
-                return
-            key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            bounds = [0, *edges.tolist(), len(key)]
-            if not final:
-                bounds.pop()
+        pairs: set = set()
+        for held, bounds in grouped(batches, ("key", "part")):
             c, n, label, chunk = (held.column(x).to_numpy() for x in ("c", "n", "label", "chunk"))
             points = np.frombuffer(b"".join(held.column("point").to_pylist()), dtype="<u4").reshape(-1, GROUPS)
-            pairs = set()
-            for start, end in zip(bounds, bounds[1:], strict=False):
-                if end - start < 2:
-                    continue
+            for start, end in bounds:
                 s = slice(start, end)
                 own = label[s]
-                if (own == own[0]).all():
+                if end - start < 2 or (own == own[0]).all():
                     continue
-                across = chunk[s] if chunk[start:end].min() != chunk[start:end].max() else None
+                across = chunk[s] if chunk[s].min() != chunk[s].max() else None
                 pairs.update(block_pairs(c[s], n[s], points[s], across, own, share, first_only))
                 if len(pairs) > 200_000:
-                    yield pairs
+                    yield told(pairs)
                     pairs = set()
-            yield pairs
-            held = None if final else held.slice(bounds[-1])
-
-        def told(pairs):
-            rows = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-            return batch({"a": (pa.array(rows[:, 0]), pa.int64()), "b": (pa.array(rows[:, 1]), pa.int64())})
+        yield told(pairs)
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if held.column("key")[0] == held.column("key")[-1] and held.column("part")[0] == held.column("part")[-1]:
-                continue
-            for pairs in blocks():
-                yield told(pairs)
-        for pairs in blocks(final=True):
-            yield told(pairs)
+    def told(pairs):
+        rows = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        return batch({"a": (pa.array(rows[:, 0]), pa.int64()), "b": (pa.array(rows[:, 1]), pa.int64())})
 
     dealt = members.repartition("key", "part").sortWithinPartitions("key", "part", "c")
     return map_batches(dealt, each, "a long, b long").distinct()

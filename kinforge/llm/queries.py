@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm import exact, mixing, packing, quality, secret_scan, token_counts, toxicity, warc
+from kinforge.llm import exact, jaccard, mixing, packing, quality, secret_scan, token_counts, toxicity, vectors, warc
 from kinforge.llm.runtime import table
 
 
@@ -21,12 +21,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by three-word shingles at a Jaccard similarity of 0.9 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, share=(9, 10))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages, written to archives and read back."""
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the byte-level tokenizer."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -58,7 +68,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_warc, op6_token_counts, op7_exact_dedup, op8_quality, op9_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_ngram_jaccard, op4_warc, op5_embeddings, op6_token_counts, op7_exact_dedup, op8_quality, op9_toxicity, op10_secrets)}
 
 ORACLE_SQL = {
     "op2_mixing": r"""

@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,25 @@ def texts(column: pa.Array) -> Iterator[str]:
     """The column's strings one by one; null counts as empty."""
     for value in column:
         yield value.as_py() or ""
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups, and where each group lies, from batches whose rows are ordered by the columns in by."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if held.num_rows and any(held.column(x)[0] != held.column(x)[-1] for x in by):
+            bounds = edges(held, by)
+            yield held, bounds[:-1]
+            held = held.slice(bounds[-1][0])
+    if held is not None and held.num_rows:
+        yield held, edges(held, by)
+
+
+def edges(held: pa.Table, by: tuple[str, ...]) -> list[tuple[int, int]]:
+    """(start, end) of each run of rows that agree in by."""
+    columns = [held.column(x).to_numpy() for x in by]
+    cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
+    bounds = [0, *cuts.tolist(), held.num_rows]
+    return list(zip(bounds, bounds[1:], strict=False))

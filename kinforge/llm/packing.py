@@ -22,6 +22,8 @@ from kinforge.llm.token_counts import chunks
 #: Bins open at once in a task.
 OPEN = 1024
 END_ID = 0
+#: Texts that are encoded together: distinct words are looked up once for all of them.
+BATCH_CHARS = 12_000_000
 
 
 class BestFit:
@@ -71,7 +73,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
         fit = BestFit(capacity, open_bins, first_bin=TaskContext.get().partitionId() << 40)
         for b in batches:
             at = 0
-            for some in chunks(texts(b.column(1))):
+            for some in chunks(texts(b.column(1)), BATCH_CHARS):
                 rows, pieces, starts, lengths, bins, offsets, ids = [], [], [], [], [], [], []
                 for row, coded in enumerate(encoder.encode(some), at):
                     coded += end

@@ -10,6 +10,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters whose classes and case mappings are settled: ASCII without controls, Latin-1 and Latin Extended-A without U+0130.
 UNSURE = re.compile("[^\t\n\r -~¡-įı-ſ]")
@@ -18,6 +20,8 @@ NUMBER = "0-9²³¹¼-¾"
 BLANK = "\t\n\r "
 #: The byte-level pre-tokenizer's split, over PLAIN characters.
 BYTE_LEVEL = re.compile(f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+#: The word-end pre-tokenizer's split, over lower-cased PLAIN characters without blanks.
+WORD_LEVEL = re.compile(f"[{LETTER}]+|[{NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}{LETTER}{NUMBER}]+")
 SPACED_WORD = re.compile(f" [{LETTER}]+")
 #: Entries that a worker's cache may hold, and how many it remembers as seen once: a pre-token is kept from its second miss on.
 #: They bound memory and never touch results.
@@ -115,7 +119,7 @@ class Ids:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
-        self.marks = {x: self._whole(x) for x in ",.;:!?"}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -123,55 +127,59 @@ class Ids:
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """White space always ends a pre-token, so words of letters are encoded as one text and cut after their last tokens.
 
-        A single mark after a letter is a pre-token of its own.
+        All else is put together from its pre-tokens: words, and the few marks, digits and contractions that occur.
         """
-        found, cache, marks, words, marked = {}, self.cache, self.marks, {}, []
+        found, cache, marks, words, mixed = {}, self.cache, self.marks, {}, []
         for x in missing:
             if x.isalpha():
                 words[x] = None
-            elif x[-1] in marks and (stem := x[:-1]).isalpha():
-                if known := cache.get(stem):
-                    found[x] = known + marks[x[-1]]
-                else:
-                    words[stem] = None
-                    marked.append((x, stem))
+            else:
+                parts = WORD_LEVEL.findall(x)
+                mixed.append((x, parts))
+                for part in parts:
+                    if part.isalpha():
+                        if part not in cache:
+                            words[part] = None
+                    elif part not in marks:
+                        if len(marks) > CACHE_ENTRIES:
+                            marks.clear()
+                        marks[part] = self._whole(part)
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(words):
                 ids = ids.tobytes()
                 found.update((x, ids[a:b]) for x, a, b in zip(words, [0, *cuts[:-1]], cuts, strict=True))
-                found.update((x, found[stem] + marks[x[-1]]) for x, stem in marked)
-        for x in missing:
-            if x not in found:
-                found[x] = self._whole(x)
+            else:
+                found.update((x, self._whole(x)) for x in words)
+        for x, parts in mixed:
+            found[x] = b"".join([found.get(y) or cache.get(y) or marks.get(y) or self._whole(y) for y in parts])
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Each distinct word of the batch is looked up once."""
         out: list[bytes] = [b""] * len(texts)
-        cache, waiting, missing = self.cache, [], {}
-        for i, text in enumerate(texts):
-            if not plain(text):
-                out[i] = self._whole(text)
-                continue
-            words = text.lower().split()
-            parts = list(map(cache.get, words))
-            if None in parts:
-                at, gaps = -1, []
-                try:
-                    while True:
-                        at = parts.index(None, at + 1)
-                        gaps.append((at, words[at]))
-                        missing[words[at]] = None
-                except ValueError:
-                    waiting.append((i, parts, gaps))
-            else:
-                out[i] = b"".join(parts)
-        if missing:
-            found = self._learn(list(missing))
-            for i, parts, gaps in waiting:
-                for at, word in gaps:
-                    parts[at] = found[word]
-                out[i] = b"".join(parts)
+        places = [i for i, text in enumerate(texts) if plain(text)]
+        for i in {*range(len(texts))}.difference(places):
+            out[i] = self._whole(texts[i])
+        if not places:
+            return out
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([texts[i] for i in places], pa.large_string())))
+        coded = words.flatten().dictionary_encode()
+        uniques, cache = coded.dictionary.to_pylist(), self.cache
+        values = list(map(cache.get, uniques))
+        gaps = [k for k, x in enumerate(values) if x is None]
+        if gaps:
+            found = self._learn([uniques[k] for k in gaps])
+            for k in gaps:
+                values[k] = found[uniques[k]]
             cache.offer(found)
+        spread = pa.array(values, pa.large_binary()).take(coded.indices)
+        if not len(spread):
+            return out
+        ends = np.frombuffer(spread.buffers()[1], dtype=np.int64)[: len(spread) + 1]
+        data = memoryview(spread.buffers()[2] or b"")
+        cuts = ends[words.offsets.to_numpy()].tolist()
+        for i, a, b in zip(places, cuts, cuts[1:], strict=False):
+            out[i] = bytes(data[a:b])
         return out

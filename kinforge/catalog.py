@@ -1,4 +1,409 @@
-"""The registered queries of the entity-resolution operators, and their SQL."""
+"""The registered queries of the entity-resolution operators.
+
+The test tables hold no businesses; ``entities`` derives some from documents, in three sources, and takes as true links
+the pairs across sources whose remaining text is the same.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinforge.functions import similarity, text
+from kinforge.operators import blocking, errors, evaluate, features, matching, profile, splits
+from kinforge.oracles import ORACLE_SQL  # noqa: F401
+from kinforge.sources import entities as src
+
+#: Pruning limits that small tables reach.
+LOW = blocking.Config(b2_most=20, b5_most=20)
+RULE = ("name_exact", "name_token_jaccard", "country_match")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.trim("text"), r"[ \t\r\n]+")
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", words.alias("t"))
+    some = lambda start, n: F.array_join(F.slice("t", start, n), " ")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (" Inc.", " LLC", " Pvt. Ltd.", " & Co", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    number = (100 + F.length(some(5, 4))).cast("string")
+    return t.select(
+        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
+        F.concat(some(1, 4), suffix).alias("business_name"),
+        F.when(F.col("doc_id") % 31 == 0, "").otherwise(F.concat(number, F.lit(" "), some(5, 4))).alias("business_address"),
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(F.col("lang")).alias("country"),
+        some(5, 36).alias("body"),
+    )
+
+
+def truth(e: DataFrame) -> DataFrame:
+    known = e.filter("length(body) > 0").select("entity_id", "body")
+    s1, rest = known.filter("entity_id like 'S1-%'").withColumnRenamed("entity_id", "s1_id"), known.filter("entity_id not like 'S1-%'").withColumnRenamed("entity_id", "cand_id")
+    return s1.join(rest, "body").select("s1_id", "cand_id").distinct()
+
+
+class Tables:
+    """The derived tables that queries start from; each is a plan, computed when a query asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, config: blocking.Config = blocking.Config()):
+        self.spark, self.config = spark, config
+        self.entities = entities(spark, sf_dir)
+        self.normal = blocking.normalised(self.entities)
+        self.s1 = self.normal.filter("entity_id like 'S1-%'")
+        self.targets = self.normal.filter("entity_id not like 'S1-%'")
+        self.ids = splits.s1_ids(self.s1)
+
+    @property
+    def links(self) -> DataFrame:
+        return truth(self.entities)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return blocking.candidates(self.s1, self.targets, self.config)
+
+    @property
+    def few(self) -> DataFrame:
+        """Candidates of the passes that ask for the most agreement, and true links: for queries that compare texts."""
+        return self.pairs.filter(F.col("pass_mask").bitwiseAND(1 | 8 | 16 | 32) != 0).select("s1_id", "cand_id", "source", "pass_mask")
+
+    @property
+    def scored(self) -> DataFrame:
+        made = features.pair_features(blocking.labelled(self.pairs, self.links), self.normal, RULE)
+        return made.withColumn("score", matching.rule_score()).select("s1_id", "cand_id", "source", "label", "score")
+
 
 QUERIES = {}
-ORACLE_SQL = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    QUERIES[f.__name__].__doc__ = f.__doc__
+    return f
+
+
+@query
+def entity_view(t):
+    return t.entities.select("entity_id", "business_name", "business_address", "country")
+
+
+@query
+def norm_names(t):
+    return t.normal.select("entity_id", "norm_name")
+
+
+@query
+def norm_addresses(t):
+    return t.normal.select("entity_id", "norm_address", "country")
+
+
+@query
+def name_tokens(t):
+    return t.normal.select("entity_id", F.posexplode("name_tokens").alias("pos", "token"))
+
+
+@query
+def name_tokens_without_stopwords(t):
+    return t.normal.select("entity_id", F.explode(text.name_words(F.col("norm_name"), 3, True)).alias("token"))
+
+
+@query
+def addr_tokens(t):
+    return t.normal.select("entity_id", F.posexplode("addr_tokens").alias("pos", "token"))
+
+
+@query
+def postal_codes(t):
+    return t.entities.select("entity_id", text.postal_code(F.concat("business_address", F.lit(" "), F.substring_index("entity_id", "-", -1), F.lit("0000"))).alias("postal"))
+
+
+@query
+def analysis_norm(t):
+    return t.entities.select("entity_id", text.analysis_name(F.col("business_name")).alias("norm"))
+
+
+@query
+def entity_profile(t):
+    return profile.entity_profile(t.entities)
+
+
+@query
+def name_top5(t):
+    return profile.top_names(t.entities)
+
+
+@query
+def country_dist(t):
+    return profile.countries(t.entities)
+
+
+@query
+def gt_links(t):
+    return t.links
+
+
+@query
+def gt_profile(t):
+    return profile.truth_profile(t.links, t.ids)
+
+
+@query
+def match_distribution(t):
+    return profile.link_distribution(t.links, t.ids)
+
+
+@query
+def block_stats(t):
+    return profile.key_strategies(t.entities)
+
+
+@query
+def high_freq_name_tokens(t):
+    return profile.frequent_name_tokens(t.entities)
+
+
+@query
+def high_freq_addr_tokens(t):
+    return profile.frequent_address_tokens(t.entities)
+
+
+@query
+def gt_key_alignment(t):
+    return profile.key_alignment(t.links, t.entities)
+
+
+def _keys(p):
+    def f(t):
+        return blocking.keys(t.normal, blocking.Config(passes=(p,))).select("entity_id", "key")
+
+    f.__name__ = f"keys_{p}"
+    query(f)
+
+
+def _cand(p):
+    def f(t):
+        return blocking.in_stage(t.pairs, p).select("s1_id", "cand_id", "source")
+
+    f.__name__ = f"cand_{p}"
+    query(f)
+
+
+def _top(p):
+    def f(t):
+        return blocking.top_keys(blocking.keys(t.targets), p)
+
+    f.__name__ = f"top_keys_{p}"
+    query(f)
+
+
+for _p in blocking.PASSES:
+    _keys(_p)
+    _cand(_p)
+for _p in ("b3", "b4", "b5a", "b5b"):
+    _top(_p)
+
+
+@query
+def postings_pruned(t):
+    return blocking.prune(blocking.keys(t.targets, LOW), LOW).select("source", F.element_at(F.array(*map(F.lit, blocking.PASSES)), F.col("pass") + 1).alias("pass"), "key", "entity_id")
+
+
+@query
+def pruned_keys(t):
+    return blocking.pruned_keys(blocking.keys(t.targets, LOW), LOW).select("source", "key", "n")
+
+
+@query
+def index_stats(t):
+    return blocking.index_stats(t.targets, LOW)
+
+
+@query
+def cand_cumulative(t):
+    return t.pairs
+
+
+@query
+def cand_pruned(t):
+    return blocking.candidates(t.s1, t.targets, LOW)
+
+
+@query
+def pair_labels(t):
+    return blocking.labelled(t.pairs, t.links).groupBy("source", "label").agg(F.count("*").alias("pairs"))
+
+
+@query
+def recall_by_stage(t):
+    return evaluate.recall_by_stage(t.pairs, t.links, t.ids)
+
+
+@query
+def candidate_distribution(t):
+    return evaluate.candidate_distribution(t.pairs, t.ids)
+
+
+@query
+def missed_links(t):
+    return blocking.missed(t.links, blocking.in_stage(t.pairs, "b1_b3"))
+
+
+@query
+def incremental_links(t):
+    return evaluate.incremental(t.pairs, t.links)
+
+
+def _similarity(t, **made):
+    a, b = F.col("e1"), F.col("e2")
+    return features.paired(t.few, t.normal).select("s1_id", "cand_id", *[f(a, b).alias(n) for n, f in made.items()])
+
+
+@query
+def sim_levenshtein(t):
+    return _similarity(t, distance=lambda a, b: similarity.levenshtein(a["norm_name"], b["norm_name"]), similarity=lambda a, b: similarity.levenshtein_similarity(a["norm_name"], b["norm_name"]))
+
+
+@query
+def sim_jaccard3(t):
+    return _similarity(t, name=lambda a, b: similarity.jaccard(a["name_3grams"], b["name_3grams"]), address=lambda a, b: similarity.jaccard(a["addr_3grams"], b["addr_3grams"]))
+
+
+@query
+def sim_dice_overlap(t):
+    words = lambda e: F.array_distinct(e["name_tokens"])
+    return _similarity(t, jaccard=lambda a, b: similarity.jaccard(words(a), words(b)), dice=lambda a, b: similarity.dice(words(a), words(b)), overlap=lambda a, b: similarity.overlap(words(a), words(b)))
+
+
+@query
+def sim_numeric(t):
+    return _similarity(t, overlap=lambda a, b: similarity.number_overlap(a["addr_tokens"], b["addr_tokens"]))
+
+
+@query
+def sim_jaro_winkler(t):
+    return _similarity(t, jaro_winkler=lambda a, b: similarity.jaro_winkler(a["norm_name"], b["norm_name"]))
+
+
+@query
+def pair_features(t):
+    names = tuple(f for f in features.FEATURES if f != "name_jaro_winkler")
+    return features.pair_features(t.few.drop("source", "pass_mask"), t.normal, names)
+
+
+@query
+def pair_features_full(t):
+    return features.pair_features(t.few.drop("source", "pass_mask"), t.normal)
+
+
+@query
+def rule_scores(t):
+    return t.scored.filter("score > 0").select("s1_id", "cand_id", "score")
+
+
+@query
+def rule_pairwise_metrics(t):
+    return evaluate.pairwise(t.scored, 0.5, "score")
+
+
+@query
+def rule_threshold_sweep(t):
+    return evaluate.entity_metrics(t.scored, t.links, t.ids, evaluate.THRESHOLDS, "score")
+
+
+@query
+def rule_s1_metrics(t):
+    return evaluate.entity_metrics(t.scored, t.links, t.ids, (0.5,), "score")
+
+
+@query
+def rule_best_threshold(t):
+    return evaluate.best_threshold(evaluate.entity_metrics(t.scored, t.links, t.ids, evaluate.THRESHOLDS, "score")).select("threshold", "s1_tp", "s1_fp", "s1_fn")
+
+
+@query
+def cardinality_breakdown(t):
+    return evaluate.by_cardinality(t.scored, t.links, t.ids, 0.5, "score")
+
+
+@query
+def error_taxonomy(t):
+    return errors.errors(t.scored, t.normal, 0.5, "score")
+
+
+@query
+def topk_errors_per_category(t):
+    return errors.worst(errors.errors(t.scored, t.normal, 0.5, "score"), 3)
+
+
+@query
+def missed_taxonomy(t):
+    return errors.missed_errors(blocking.missed(t.links, blocking.in_stage(t.pairs, "b1")), t.normal)
+
+
+@query
+def addr_overlap_diagnostic(t):
+    return errors.overlap_report(blocking.missed(t.links, blocking.in_stage(t.pairs, "b1")), t.normal, t.targets)
+
+
+@query
+def missed_address_tokens(t):
+    return errors.shared_address_tokens(blocking.missed(t.links, blocking.in_stage(t.pairs, "b1")), t.normal, t.targets)
+
+
+@query
+def useful_signals(t):
+    return errors.useful_signals(blocking.missed(t.links, blocking.in_stage(t.pairs, "b1")), t.normal, t.targets)
+
+
+@query
+def split_hash(t):
+    return splits.split_ids(t.ids)
+
+
+@query
+def split_checks(t):
+    return splits.check_split(splits.split_ids(t.ids), t.ids, t.links)
+
+
+@query
+def target_checks(t):
+    return splits.check_targets(t.entities.filter("entity_id not like 'S1-%'"), t.links)
+
+
+@query
+def smoke_ids(t):
+    return splits.first_ids(t.ids, 50)
+
+
+@query
+def target_subset(t):
+    ordered = t.entities.filter("entity_id like 'S2-%'").select("entity_id", F.substring_index("entity_id", "-", -1).cast("long").alias("ordinal"))
+    return src.target_subset(ordered, t.links.select("cand_id").filter("cand_id like 'S2-%'"), 60)
+
+
+@query
+def sample_in_order(t):
+    ordered = t.entities.select("entity_id", F.substring_index("entity_id", "-", -1).cast("long").alias("ordinal"))
+    return src.sample_in_order(ordered, t.links.select("s1_id"), 10)
+
+
+@query
+def negative_sample(t):
+    return matching.sample_negatives(blocking.labelled(t.few, t.links), 500).select("s1_id", "cand_id", "label")
+
+
+def _lr(t) -> DataFrame:
+    made = features.pair_features(blocking.labelled(t.few, t.links), t.normal).cache()
+    return matching.score(made, matching.fit(made))
+
+
+@query
+def lr_metrics(t):
+    return evaluate.pairwise(_lr(t), 0.5)
+
+
+@query
+def lr_threshold_sweep(t):
+    return evaluate.entity_metrics(_lr(t).select("s1_id", "cand_id", "probability"), t.links, t.ids)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links found by blocking and rules, with their scores."""
+    return QUERIES["rule_scores"](spark, sf_dir)

@@ -1 +1 @@
-"""Part of kinforge."""
+"""Whole runs: blocking evaluation, matching with training and validation, and profiling."""

@@ -1 +1 @@
-"""Part of kinforge."""
+"""Incremental scoring of new master records against a static index."""

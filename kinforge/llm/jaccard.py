@@ -4,14 +4,17 @@ A document's set holds the hashes of its distinct shingles. Documents with the s
 between classes, so copies are never paired.
 
 Blocks. In one global order of all shingles, two sets of at least the wanted similarity share one of their first
-n - ceil(share * n) + 1 shingles. The order puts a bounded list of frequent shingles last: that keeps passages that many
-documents share out of the blocks, and any list gives the same links. A block that is too large for a task is dealt out
+n - ceil(share * n) + 1 shingles. The order puts shingles of long words first, as they are rarer, and a bounded list of
+frequent shingles last: that keeps common words, and passages that many documents share, out of the blocks. Any order
+gives the same links. A block that is too large for a task is dealt out
 as pairs of chunks.
 
 Count vectors. Each set is also a point: how many of its shingles fall in each of GROUPS hash groups. The overlap of two
 sets is at most the sum of the coordinate-wise minima of their points, and so is that of a set with anything inside a
 box at the box's upper corner. Blocks index their points in an R-tree and search it with this bound and the sizes.
 
+Blocks with the same members count once.
+
 Links. A first search gives each member its smallest possible partner; those pairs are verified on the whole sets and
 connected. A second search goes over the blocks that still hold more than one component and gives every pair across
 components that the bound lets through; these are verified too. Pairs left unverified thus either fail the bound or lie
@@ -32,17 +35,17 @@ from pyspark.sql import functions as F
 
 from kinforge.llm.components import connected
 from kinforge.llm.kneser import in_bulk
-from kinforge.llm.runtime import batch, grouped, map_batches, settle, texts
+from kinforge.llm.runtime import batch, grouped, map_batches, settle, small, texts, without
 
 GROUPS, LEAF, CHUNK = 64, 32, 4096
 #: Frequent shingles: entries of the list, of a partition's share of it, and the least count there.
 FREQUENT, SUMMARY, LEAST = 100_000, 20_000, 4
-WORDS_CACHE = 400_000
+WORDS_CACHE = 200_000
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    """Sorted distinct 64-bit hashes of a text's word shingles; shingles of longer words, which are rarer, have lower hashes."""
 
     def __init__(self, words: int):
         self.words, self.known = words, {}
@@ -66,7 +69,11 @@ class Shingler:
             mixed = (mixed ^ h[i : i + len(mixed)]) * MULTIPLY[0]
             mixed ^= mixed >> np.uint64(29)
         mixed = mixed * MULTIPLY[1]
-        return np.unique(mixed ^ (mixed >> np.uint64(32)))
+        mixed ^= mixed >> np.uint64(32)
+        along = np.cumsum([0, *map(len, words)])
+        half = (along[k:] - along[:-k]) * 2 // k
+        kind = (15 - np.clip(half - 6, 0, 15)).astype(np.uint64)
+        return np.unique((mixed >> np.uint64(4)) | (kind << np.uint64(60)))
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -104,8 +111,8 @@ def prefix_length(n, share: tuple[int, int]):
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int], last: np.ndarray) -> DataFrame:
-    """Per row: id, n, s1 and s2 (the set's signature), keys (its front) and point (its count vector)."""
-    kind = dict(docs.dtypes)[id_col]
+    """Per row: id, hash (of the text), n, s1 and s2 (the set's signature), keys (its front) and point (its count vector)."""
+    kind, told = dict(docs.dtypes)[id_col], F.xxhash64(text_col).alias("hash")
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def each(batches):
@@ -124,13 +131,21 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[i
                 else:
                     front = h[: prefix_length(len(h), share)] if len(h) else h
                 keys.append(signed(front))
-                points.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                points.append(counts.astype("u1" if counts.max() < 256 else "<u4").tobytes())
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
             ends = np.cumsum([0, *map(len, keys)])
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield batch({"id": (b.column(0), b.column(0).type), "n": (n, pa.int64()), "s1": (s1, pa.int64()), "s2": (s2, pa.int64()), "keys": (arrays, pa.list_(pa.int64())), "point": (points, pa.binary())})
+            yield batch({"id": (b.column(0), b.column(0).type), "hash": (b.column(2), pa.int64()), "n": (n, pa.int64()), "s1": (s1, pa.int64()), "s2": (s2, pa.int64()), "keys": (arrays, pa.list_(pa.int64())), "point": (points, pa.binary())})
+
+    return map_batches(docs.select(id_col, text_col, told), each, f"id {kind}, hash long, n long, s1 long, s2 long, keys array<long>, point binary")
+
 
-    return map_batches(docs.select(id_col, text_col), each, f"id {kind}, n long, s1 long, s2 long, keys array<long>, point binary")
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """Count vectors, a row each; a vector takes one byte a group if all its counts do."""
+    if all(len(x) == GROUPS for x in points):
+        return np.frombuffer(b"".join(points), dtype="u1").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, dtype="u1" if len(x) == GROUPS else "<u4").astype("<u4") for x in points])
 
 
 class CountTree:
@@ -165,11 +180,10 @@ class CountTree:
 
 
 def block_pairs(c, sizes, points, chunk, label, share, first_only):
-    """(lower, higher) ids of a block's possible pairs across labels; only each member's smallest partner if first_only."""
+    """(lower, higher) ids: a block's possible pairs across labels, member by member; only each one's smallest partner if first_only."""
     m = len(c)
     tree = CountTree(points, sizes, share) if m > LEAF else None
     num, den = share
-    out = []
     for i in range(m):
         if tree is not None:
             found = tree.search(points[i], sizes[i])
@@ -179,14 +193,10 @@ def block_pairs(c, sizes, points, chunk, label, share, first_only):
         found = found[(found != i) & (label[found] != label[i])]
         if chunk is not None:
             found = found[chunk[found] != chunk[i]]
-        if first_only:
-            if len(found):
-                other = c[found].min()
-                out.append((min(c[i], other), max(c[i], other)))
-        else:
-            found = found[c[found] > c[i]]
-            out += [(c[i], x) for x in c[found]]
-    return out
+        others = c[found]
+        others = others[others.argmin()][None] if first_only and len(others) else others if first_only else others[others > c[i]]
+        for other in others.tolist():
+            yield (min(int(c[i]), other), max(int(c[i]), other))
 
 
 def search_blocks(members: DataFrame, share: tuple[int, int], first_only: bool) -> DataFrame:
@@ -196,17 +206,18 @@ def search_blocks(members: DataFrame, share: tuple[int, int], first_only: bool)
         pairs: set = set()
         for held, bounds in grouped(batches, ("key", "part")):
             c, n, label, chunk = (held.column(x).to_numpy() for x in ("c", "n", "label", "chunk"))
-            points = np.frombuffer(b"".join(held.column("point").to_pylist()), dtype="<u4").reshape(-1, GROUPS)
+            points = unpacked(held.column("point").to_pylist())
             for start, end in bounds:
                 s = slice(start, end)
                 own = label[s]
                 if end - start < 2 or (own == own[0]).all():
                     continue
                 across = chunk[s] if chunk[s].min() != chunk[s].max() else None
-                pairs.update(block_pairs(c[s], n[s], points[s], across, own, share, first_only))
-                if len(pairs) > 200_000:
-                    yield told(pairs)
-                    pairs = set()
+                for pair in block_pairs(c[s], n[s], points[s], across, own, share, first_only):
+                    pairs.add(pair)
+                    if len(pairs) > 200_000:
+                        yield told(pairs)
+                        pairs = set()
         yield told(pairs)
 
     def told(pairs):
@@ -226,17 +237,31 @@ def in_chunks(postings: DataFrame) -> DataFrame:
     return dealt.withColumn("part", F.least("chunk", "other") * (1 << 31) + F.greatest("chunk", "other"))
 
 
-def verified(pairs: DataFrame, whole: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def verified(pairs: DataFrame, told: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs whose whole sets are similar enough, made anew from the texts (c, text)."""
     num, den = share
-    of = lambda x: whole.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("h").alias(f"h_{x}"))
-    both = F.size(F.array_intersect("h_a", "h_b"))
-    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", both.cast("long").alias("both"))
-    return joined.filter(F.col("both") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    of = lambda x: told.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+
+    def each(batches):
+        shingler, known = Shingler(words), (None, None)
+        for t in batches:
+            keep = []
+            for i, a in enumerate(t.column(0).to_pylist()):
+                if known[0] != a:
+                    known = a, shingler.hashes(t.column(2)[i].as_py() or "")
+                one, other = known[1], shingler.hashes(t.column(3)[i].as_py() or "")
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                if both * den >= num * (len(one) + len(other) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield batch({"a": (t.column(0).take(at), pa.int64()), "b": (t.column(1).take(at), pa.int64())})
+
+    return map_batches(joined, each, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
-    """Per row: id_col, n_shingles and component_id, linking sets whose Jaccard similarity is at least share[0] / share[1]."""
+    """Per row: id_col, n_shingles, component_id and text_hash, linking sets whose Jaccard similarity is at least share[0] / share[1]."""
     last = frequent_shingles(docs, text_col, words)
     rows = settle(sets(docs, id_col, text_col, words, share, last)).withColumn("row", F.monotonically_increasing_id())
     classes = settle(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("c"), F.min("id").alias("least_id")))
@@ -244,57 +269,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = heads.select(F.col("row").alias("c"), "n", "point")
     by_key = W.partitionBy("key")
     postings = heads.select(F.explode("keys").alias("key"), F.col("row").alias("c"), "n")
-    postings = postings.withColumn("many", F.count("*").over(by_key)).filter("many > 1").withColumn("nth", F.row_number().over(by_key.orderBy("n", "c")))
-    postings = settle(postings)
+    members = [F.bit_xor(F.xxhash64("c", F.lit(k))).over(by_key).alias(f"x{k}") for k in (1, 2)]
+    shared = settle(postings.select("*", F.count("*").over(by_key).alias("many"), *members).filter("many > 1"))
+    # Blocks with the same members give the same pairs: one of them stays.
+    single = shared.groupBy("many", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    postings = settle(shared.join(single, "key", "left_semi").select("key", "c", "n", "many").withColumn("nth", F.row_number().over(by_key.orderBy("n", "c"))))
     with_points = lambda members: members.join(points.select("c", "point"), "c")
     first = settle(search_blocks(with_points(in_chunks(postings).withColumn("label", F.col("c"))), share, True))
 
-    needed = first.select(F.col("a").alias("c")).union(first.select("b")).distinct()
-    wanted = settle(classes.join(needed, "c").select("c", "s1", "s2", F.col("least_id").alias("wanted_id")))
-    whole = settle(whole_sets(docs, wanted, id_col, text_col, words))
-    links = settle(verified(first, whole, share))
+    needed = settle(first.select(F.col("a").alias("c")).union(first.select("b")).distinct())
+    wanted = settle(classes.join(needed, "c").select("c", "s1", F.col("least_id").alias("wanted_id")))
+    told = settle(texts_of(docs, wanted, id_col, text_col, words))
+    links = settle(verified(first, told, words, share))
     labels = connected(links)
 
-    told = postings.select("key", "c").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("label", F.coalesce("root", "c"))
-    told = told.join(needed, "c", "left_semi")
-    mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_blocks = told.select("key", "c", "label").join(mixed, "key").join(points.select("c", "n"), "c")
+    placed = postings.select("key", "c").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("label", F.coalesce("root", "c"))
+    placed = placed.join(needed, "c", "left_semi")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    open_blocks = placed.select("key", "c", "label").join(mixed, "key").join(points.select("c", "n"), "c")
     open_blocks = open_blocks.withColumns({"many": F.count("*").over(by_key), "nth": F.row_number().over(by_key.orderBy("n", "c"))})
     rest = search_blocks(with_points(in_chunks(open_blocks)), share, False)
-    more = settle(verified(rest.join(first, ["a", "b"], "left_anti"), whole, share))
+    more = settle(verified(rest.join(first, ["a", "b"], "left_anti"), told, words, share))
     if not more.isEmpty():
         labels = connected(links.union(more))
 
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = settle(named.join(names, "root").select("s1", "s2", "n", "component_id"))
-    out = rows.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("id", "hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("text_hash"))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """c, n, h: the whole set of each wanted class, from a row that has its smallest id and its signature."""
-    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("wanted_id"))).select("c", "s1", "s2", "_text")
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """c, text: a text of each wanted class, from a row that has its smallest id and its signature."""
+    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(wanted), F.col("_id").eqNullSafe(F.col("wanted_id"))).select("c", "s1", "_text")
 
     def each(batches):
         shingler = Shingler(words)
         for b in batches:
-            keep, h = [], []
-            for i, (s1, text) in enumerate(zip(b.column(1).to_pylist(), texts(b.column(3)), strict=True)):
-                found = shingler.hashes(text)
-                if xxhash.xxh3_64_intdigest(found.tobytes(), 1) - (1 << 63) == s1:
-                    keep.append(i)
-                    h.append(found.view(np.int64))
-            ends = np.cumsum([0, *map(len, h)])
-            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *h]), pa.int64()))
-            yield batch({"c": (b.column(0).take(pa.array(keep, pa.int64())), pa.int64()), "n": ([len(x) for x in h], pa.int64()), "h": (arrays, pa.list_(pa.int64()))})
+            keep = [i for i, (s1, text) in enumerate(zip(b.column(1).to_pylist(), texts(b.column(2)), strict=True)) if xxhash.xxh3_64_intdigest(shingler.hashes(text).tobytes(), 1) - (1 << 63) == s1]
+            at = pa.array(keep, pa.int64())
+            yield batch({"c": (b.column(0).take(at), pa.int64()), "text": (b.column(2).take(at), pa.string())})
 
-    return map_batches(asked, each, "c long, n long, h array<long>").dropDuplicates(["c"])
+    return map_batches(asked, each, "c long, text string").dropDuplicates(["c"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest id. Rows without an id stay; repeated rows are one."""
-    found = jaccard_components(docs, id_col, text_col, words, share)
-    leave = found.filter(F.col("component_id").isNotNull() & F.col(id_col).isNotNull() & (F.col("component_id") != F.col(id_col))).select(F.col(id_col).alias("_leave")).distinct()
-    kept = docs.withColumn("_hash", F.xxhash64(text_col)).join(leave, F.col(id_col) == F.col("_leave"), "left_anti")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    """The rows of docs that stay, with all their columns: of each component one row with the smallest id. Rows without an id or without words stay."""
+    keys = ["kinforge_id", "kinforge_hash"]
+    found = settle(jaccard_components(docs, id_col, text_col, words, share).filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kinforge_id"), F.col("text_hash").alias("kinforge_hash"), "component_id"))
+    heads = found.filter("kinforge_id = component_id")
+    chosen = settle(heads.groupBy("kinforge_id").agg(F.min("kinforge_hash").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
+    others = heads.join(chosen, "kinforge_id").filter("kinforge_hash <> first")
+    leave = settle(found.filter("kinforge_id <> component_id").select(*keys).union(others.select(*keys)).distinct())
+    repeats = settle(heads.join(chosen, "kinforge_id").filter("kinforge_hash = first").select(*keys).distinct())
+    marked = docs.withColumns({"kinforge_id": F.col(id_col), "kinforge_hash": F.xxhash64(text_col)})
+    return without(marked, leave, repeats, keys).drop(*keys)

@@ -23,7 +23,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by three-word shingles at a Jaccard similarity of 0.9 or more."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, share=(9, 10))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, share=(9, 10)).drop("text_hash")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

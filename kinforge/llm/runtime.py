@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -10,7 +13,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Narrow tables are joined by broadcast up to this many rows, and by a shuffle beyond.
+BROADCAST_ROWS = 2_000_000
+#: Rows in an Arrow batch: bounds what JVM and worker hold of long texts.
+BATCH_ROWS, ROWS_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -42,11 +50,44 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose workers can import this package, wherever the driver was started."""
+    """mapInArrow whose workers can import this package, wherever the driver was started, and get at most BATCH_ROWS rows at once."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(ROWS_SETTING, str(BATCH_ROWS))
     environment = df.sparkSession.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))
-    return df.mapInArrow(each, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give freed memory back, as workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled df, to be broadcast if it has few enough rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, leave: DataFrame, repeats: DataFrame, keys: list[str]) -> DataFrame:
+    """docs without the rows whose keys are in leave, and with one row for each key in repeats; both are settled."""
+    match = lambda other: [docs[k].eqNullSafe(other[k]) for k in keys]
+    kept = docs.join(small(leave), match(leave), "left_anti")
+    if repeats.isEmpty():
+        return kept
+    once = kept.join(repeats, [kept[k].eqNullSafe(repeats[k]) for k in keys], "left_semi").dropDuplicates(keys)
+    return kept.join(repeats, [kept[k].eqNullSafe(repeats[k]) for k in keys], "left_anti").unionByName(once)
 
 
 def batch(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:

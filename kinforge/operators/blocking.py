@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kinforge.functions import text
 from kinforge.functions.similarity import char_grams
 
+# Pass names and the other names that configurations use for them.
 PASSES = ("b1", "b2", "b3", "b4", "b5a", "b5b")
 ALIASES = {
     "b1": "b1", "exact_name_country": "b1", "b2": "b2", "distinctive_token_country": "b2", "b3": "b3", "name_prefix_country": "b3",

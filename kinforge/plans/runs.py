@@ -1,4 +1,7 @@
-"""Whole runs over entity tables, each a dictionary of small report tables."""
+"""Whole runs over entity tables, each a dictionary of small report tables.
+
+What several reports share (normalised entities, pairs, features) is persisted: lost blocks come back from their lineage.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +17,11 @@ def sources(entities: DataFrame, source: str) -> DataFrame:
 
 def blocking_run(entities: DataFrame, links: DataFrame, config: blocking.Config = blocking.Config(), s1_ids: DataFrame | None = None) -> dict[str, DataFrame]:
     """Index statistics, frequent keys, recall and candidate counts of each stage, and what was missed."""
-    normal = blocking.normalised(entities)
+    normal = blocking.normalised(entities).persist()
     queries, targets = sources(normal, "S1"), normal.filter(~F.col("entity_id").startswith("S1-"))
     ids = s1_ids if s1_ids is not None else splits.s1_ids(queries)
     queries = queries.join(ids.select(F.col(ids.columns[0]).alias("entity_id")), "entity_id", "left_semi")
-    pairs = blocking.candidates(queries, targets, config)
+    pairs = blocking.candidates(queries, targets, config).persist()
     missed = blocking.missed(links.join(ids.select(F.col(ids.columns[0]).alias("s1_id")), "s1_id", "left_semi"), pairs)
     postings = blocking.prune(blocking.keys(targets, config), config)
     return {
@@ -34,10 +37,10 @@ def blocking_run(entities: DataFrame, links: DataFrame, config: blocking.Config
 
 def matching_run(entities: DataFrame, links: DataFrame, split: DataFrame, config: blocking.Config = blocking.Config(), most_negatives: int = 5_000_000, thresholds=evaluate.THRESHOLDS, seed: int = 42) -> dict[str, DataFrame]:
     """Train on the split's train entities, score those of val, and report metrics, the sweep, cardinality and errors."""
-    normal = blocking.normalised(entities)
+    normal = blocking.normalised(entities).persist()
     targets = normal.filter(~F.col("entity_id").startswith("S1-"))
     pairs = blocking.labelled(blocking.candidates(sources(normal, "S1"), targets, config), links).join(split, "s1_id")
-    made = features.pair_features(pairs, normal)
+    made = features.pair_features(pairs, normal).persist()
     model = matching.fit(matching.sample_negatives(made.filter("split = 'train'"), most_negatives, seed))
     val_ids = split.filter("split = 'val'").select("s1_id")
     scored = matching.score(made.filter("split = 'val'"), model).withColumn("rule", matching.rule_score())

@@ -61,15 +61,13 @@ def only_ids(entities: DataFrame, ids: DataFrame, id_col: str = "entity_id") ->
 def target_subset(entities: DataFrame, required: DataFrame, least: int) -> DataFrame:
     """All required rows, and the first others in order until there are least rows together; needs an ordinal column.
 
-    A row that isn't required is taken while the rows taken before it stay under the target, so required rows that
-    come later may lead beyond it.
+    A row that isn't required is taken while fewer rows than the target come before it, so required rows that come later
+    may lead beyond it. The first rows are a distributed top-k, never a sort of all rows in one task.
     """
     needed = required.select(F.col(required.columns[0]).alias("entity_id")).distinct()
-    target = F.greatest(F.lit(least), F.lit(needed.count()))
-    marked = entities.join(needed.withColumn("_required", F.lit(True)), "entity_id", "left").withColumn("_required", F.coalesce("_required", F.lit(False)))
-    in_order = W.orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    counted = marked.withColumn("_others", F.coalesce(F.sum((~F.col("_required")).cast("long")).over(in_order), F.lit(0))).withColumn("_needed", F.coalesce(F.sum(F.col("_required").cast("long")).over(in_order), F.lit(0)))
-    return counted.filter(F.col("_required") | (F.col("_others") + F.col("_needed") < target)).drop("_required", "_others", "_needed")
+    target = max(least, needed.count())
+    others = entities.orderBy("ordinal").limit(target).join(needed, "entity_id", "left_anti")
+    return entities.join(needed, "entity_id", "left_semi").unionByName(others)
 
 
 def sample_in_order(entities: DataFrame, ids: DataFrame, n: int) -> DataFrame:

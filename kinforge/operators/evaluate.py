@@ -30,12 +30,14 @@ def pairwise(scored: DataFrame, threshold: float, score: str = "probability") ->
     return precision_recall(counts, "tp", "fp", "fn")
 
 
-def against_truth(scored: DataFrame, links: DataFrame, thresholds: tuple[float, ...], score: str = "probability") -> DataFrame:
-    """threshold, s1_id, tp, fp, fn: each entity's predicted links against all its true ones, missed candidates included.
+def with_truth(scored: DataFrame, links: DataFrame, score: str) -> DataFrame:
+    """s1_id, cand_id, score, true: pairs and true links together; a missed link has no score, a wrong pair no true."""
+    return scored.select("s1_id", "cand_id", F.col(score).alias("score")).join(links.select("s1_id", "cand_id", F.lit(True).alias("true")), ["s1_id", "cand_id"], "full")
 
-    One full join of pairs and truth serves all thresholds.
-    """
-    joined = scored.select("s1_id", "cand_id", F.col(score).alias("score")).join(links.select("s1_id", "cand_id", F.lit(True).alias("true")), ["s1_id", "cand_id"], "full")
+
+def against_truth(scored: DataFrame, links: DataFrame, thresholds: tuple[float, ...], score: str = "probability") -> DataFrame:
+    """threshold, s1_id, tp, fp, fn: each entity's predicted links against all its true ones, missed candidates included."""
+    joined = with_truth(scored, links, score)
     steps = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     yes, true = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)), F.col("true").isNotNull()
     return joined.select("s1_id", "score", "true", steps).groupBy("threshold", "s1_id").agg(F.count_if(yes & true).alias("tp"), F.count_if(yes & ~true).alias("fp"), F.count_if(~yes & true).alias("fn"))
@@ -44,14 +46,22 @@ def against_truth(scored: DataFrame, links: DataFrame, thresholds: tuple[float,
 def entity_metrics(scored: DataFrame, links: DataFrame, s1_ids: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, score: str = "probability") -> DataFrame:
     """A row a threshold: micro-averaged metrics over all entities of s1_ids, and how many have exactly the true links.
 
+    One full join of pairs and truth and one aggregate an entity serve all thresholds; rows aren't multiplied by them.
+
     Entities without a pair or a link are exact: nothing is predicted and nothing is true.
     """
     asked = s1_ids.select(F.col(s1_ids.columns[0]).alias("s1_id")).distinct()
-    each = against_truth(scored, links, thresholds, score).join(asked, "s1_id", "left_semi")
-    wrong = (F.col("fp") > 0) | (F.col("fn") > 0)
-    summed = each.groupBy("threshold").agg(F.sum("tp").alias("s1_tp"), F.sum("fp").alias("s1_fp"), F.sum("fn").alias("s1_fn"), F.count_if(wrong).alias("wrong"))
-    steps = asked.agg(F.count("*").alias("total_s1")).select("total_s1", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
-    full = steps.join(summed, "threshold", "left").fillna(0, ["s1_tp", "s1_fp", "s1_fn", "wrong"])
+    steps = [float(t) for t in thresholds]
+    joined = with_truth(scored, links, score)
+    true = F.col("true").isNotNull()
+    yes = [F.coalesce(F.col("score") >= t, F.lit(False)) for t in steps]
+    counts = [c for i, y in enumerate(yes) for c in (F.count_if(y & true).alias(f"tp{i}"), F.count_if(y & ~true).alias(f"fp{i}"))]
+    each = asked.join(joined.groupBy("s1_id").agg(F.count_if(true).alias("links"), *counts), "s1_id", "left").fillna(0)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    sums = [c for i in range(len(steps)) for c in (total(F.col(f"tp{i}"), f"tp{i}"), total(F.col(f"fp{i}"), f"fp{i}"), F.count_if((F.col(f"fp{i}") > 0) | (F.col(f"tp{i}") < F.col("links"))).alias(f"wrong{i}"))]
+    summed = each.agg(F.count("*").alias("total_s1"), total(F.col("links"), "links"), *sums)
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("s1_tp"), F.col(f"fp{i}").alias("s1_fp"), (F.col("links") - F.col(f"tp{i}")).alias("s1_fn"), F.col(f"wrong{i}").alias("wrong")) for i, t in enumerate(steps)])
+    full = summed.select("total_s1", F.inline(rows))
     full = full.withColumn("exact", F.col("total_s1") - F.col("wrong")).withColumn("exact_pct", ratio(F.col("exact") * 100.0, F.col("total_s1")))
     return precision_recall(full, "s1_tp", "s1_fp", "s1_fn", "s1_").drop("wrong")
 

@@ -127,8 +127,9 @@ def test_tree_loses_nothing():
     for i in range(0, 900, 37):
         bound = np.minimum(points, points[i]).sum(axis=1)
         want = set(np.flatnonzero(bound * 19 >= 9 * (sizes + sizes[i])).tolist())
-        assert want <= set(tree.search(points[i], sizes[i]).tolist()) | set()
-        assert set(tree.search(points[i], sizes[i]).tolist()) == want
+        found, shared = tree.search(points[i], sizes[i])
+        assert set(found.tolist()) == want and shared.tolist() == bound[found].tolist()
+        assert jaccard.overlaps(points.astype("u1"), points[i].astype("u1")).tolist() == bound.tolist()
 
 
 def test_components(spark):

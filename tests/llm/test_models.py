@@ -245,7 +245,7 @@ def test_queries_with_sql(spark, data):
     from kinforge.llm import queries
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, data)

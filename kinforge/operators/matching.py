@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from kinforge.operators.features import FEATURES
 
 
+#: Rows a task when fitting.
+FIT_ROWS = 50_000
+
+
 def rule_score(name_exact: str = "name_exact", token_jaccard: str = "name_token_jaccard", country: str = "country_match") -> Column:
     """1.0 for the same name in the same country, 0.85 for names that share most words there, else 0.0."""
     same = F.col(country) == 1.0
@@ -34,7 +38,12 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="class_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=iterations),
     ]
-    return Pipeline(stages=stages).fit(labelled.withColumn("label", F.col("label").cast("double")).withColumn("class_weight", weight))
+    # Every iteration is a job over all rows: few rows are dealt to few tasks, so that scheduling doesn't dominate.
+    rows = labelled.select(*features, F.col("label").cast("double").alias("label"), weight.alias("class_weight")).repartition(-(-total // FIT_ROWS)).persist()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(pairs: DataFrame, model: PipelineModel | None) -> DataFrame:

@@ -15,8 +15,8 @@ box at the box's upper corner. Blocks index their points in an R-tree and search
 
 Blocks with the same members count once.
 
-Links. A first search gives each member its smallest possible partner; those pairs are verified on the whole sets and
-connected. A second search goes over the blocks that still hold more than one component and gives every pair across
+Links. A first search gives each member its smallest and its most similar possible partner; those pairs are verified on
+the whole sets and connected. A second search goes over the blocks that still hold more than one component and gives every pair across
 components that the bound lets through; these are verified too. Pairs left unverified thus either fail the bound or lie
 in one component already, so components are exact and large groups of near copies aren't expanded into pairs.
 
@@ -37,10 +37,11 @@ from kinforge.llm.components import connected
 from kinforge.llm.kneser import in_bulk
 from kinforge.llm.runtime import batch, grouped, map_batches, settle, small, texts, without
 
-GROUPS, LEAF, CHUNK = 64, 32, 4096
+GROUPS, LEAF, CHUNK = 256, 32, 4096
 #: Frequent shingles: entries of the list, of a partition's share of it, and the least count there.
 FREQUENT, SUMMARY, LEAST = 100_000, 20_000, 4
 WORDS_CACHE = 200_000
+LOW_BYTES, LANE = np.uint64(0x00FF00FF00FF00FF), np.uint64(0xFFFF)
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -148,6 +149,19 @@ def unpacked(points: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(x, dtype="u1" if len(x) == GROUPS else "<u4").astype("<u4") for x in points])
 
 
+def overlaps(tops: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Sums of the coordinate-wise minima of each row and the point: bounds on shared shingles.
+
+    Rows of bytes are added eight at a time within 64-bit words: pairs of bytes first, so that no sum overflows its 16 bits.
+    """
+    least = np.minimum(tops, point)
+    if least.dtype != np.uint8:
+        return least.sum(axis=1, dtype=np.int64)
+    words = least.view(np.uint64)
+    lanes = ((words & LOW_BYTES) + ((words >> np.uint64(8)) & LOW_BYTES)).sum(axis=1)
+    return ((lanes & LANE) + ((lanes >> np.uint64(16)) & LANE) + ((lanes >> np.uint64(32)) & LANE) + (lanes >> np.uint64(48))).astype(np.int64)
+
+
 class CountTree:
     """R-tree over count vectors, packed by size; a search bounds overlaps by sums of coordinate minima."""
 
@@ -163,40 +177,49 @@ class CountTree:
             starts = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """The members that may be similar enough, by place in the input."""
+    def search(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members that may be similar enough, by place in the input, and the bounds on what they share."""
         num, den = self.num, self.den
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             at = at[(high[at] * den >= num * size) & (low[at] * num <= den * size)]
             smallest = np.maximum(low[at], -(-num * size // den))
-            overlap = np.minimum(top[at], point).sum(axis=1, dtype=np.int64)
-            at = at[overlap * (num + den) >= num * (size + smallest)]
+            overlap = overlaps(top[at], point)
+            fits = overlap * (num + den) >= num * (size + smallest)
+            at, overlap = at[fits], overlap[fits]
             if depth:
                 below = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = below[below < len(self.levels[depth - 1][0])]
-        return self.order[at]
+        return self.order[at], overlap
 
 
 def block_pairs(c, sizes, points, chunk, label, share, first_only):
-    """(lower, higher) ids: a block's possible pairs across labels, member by member; only each one's smallest partner if first_only."""
+    """(lower, higher) ids: a block's possible pairs across labels; if first_only, of each member only those with its smallest and its most similar partner."""
     m = len(c)
     tree = CountTree(points, sizes, share) if m > LEAF else None
     num, den = share
     for i in range(m):
         if tree is not None:
-            found = tree.search(points[i], sizes[i])
+            found, shared = tree.search(points[i], sizes[i])
         else:
-            least = num * (sizes + sizes[i])
-            found = np.flatnonzero(np.minimum(points, points[i]).sum(axis=1, dtype=np.int64) * (num + den) >= least)
-        found = found[(found != i) & (label[found] != label[i])]
+            shared = overlaps(points, points[i])
+            found = np.flatnonzero(shared * (num + den) >= num * (sizes + sizes[i]))
+            shared = shared[found]
+        usable = (found != i) & (label[found] != label[i])
         if chunk is not None:
-            found = found[chunk[found] != chunk[i]]
-        others = c[found]
-        others = others[others.argmin()][None] if first_only and len(others) else others if first_only else others[others > c[i]]
+            usable &= chunk[found] != chunk[i]
+        found, shared = found[usable], shared[usable]
+        if not len(found):
+            continue
+        others, own = c[found], int(c[i])
+        if first_only:
+            likest = np.argmax(shared / (sizes[found] + sizes[i]))
+            others = np.unique([others.min(), others[likest]])
+        else:
+            others = others[others > own]
         for other in others.tolist():
-            yield (min(int(c[i]), other), max(int(c[i]), other))
+            yield (min(own, other), max(own, other))
 
 
 def search_blocks(members: DataFrame, share: tuple[int, int], first_only: bool) -> DataFrame:

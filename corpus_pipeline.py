@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under a model of trusted text lies within their language's threshold."""
-    return quality.judge(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).filter("good").select(*COLUMNS)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.runtime import settle
+from kinforge.llm.runtime import settle, without
 
 #: Runs merged at once, and leaves at the foot of the tree (partitions beyond that share leaves).
 FANIN, LEAVES = 64, 4096
@@ -69,6 +69,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows find their verdict by id and digest; rows that agree in both are one row told several times, and one of them stays.
     """
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
-    with_digest = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    return with_digest.join(keep, with_digest[id_col].eqNullSafe(keep["_keep_id"]) & (with_digest["_digest"] == keep["_keep_digest"]), "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")
+    keys = ["kinforge_id", "kinforge_digest"]
+    dropped = settle(exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("kinforge_id"), "keep_id", F.unhex("text_sha256").alias("kinforge_digest")))
+    told_again = F.col("kinforge_id").eqNullSafe(F.col("keep_id"))
+    leave, repeats = (settle(dropped.filter(c).select(*keys).distinct()) for c in (~told_again, told_again))
+    marked = docs.withColumns({"kinforge_id": F.col(id_col), "kinforge_digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    return without(marked, leave, repeats, keys).drop(*keys)

@@ -131,7 +131,8 @@ def log_likelihoods(docs: DataFrame, table: DataFrame, keep: list[str], text_col
     """The columns in keep, n_grams and loglik of each text, under a settled score table."""
     spark = docs.sparkSession
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_grams long, loglik double"
+    told = F.xxhash64(text_col).alias("text_hash")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", text_hash long, n_grams long, loglik double"
     passes = []
     for g, p in shards(table):
         shared = spark.sparkContext.broadcast((g, p))
@@ -145,17 +146,24 @@ def log_likelihoods(docs: DataFrame, table: DataFrame, keep: list[str], text_col
                     size = np.array([len(x) for x in each])
                     codes, uniques = pd.factorize(np.concatenate(each))
                     at = np.minimum(np.searchsorted(known, uniques), max(0, len(known) - 1))
-                    value = np.where(known[at] == uniques, logp[at], 0.0) if len(known) else np.zeros(len(uniques))
+                    value = np.where(known[at] == uniques, logp[at].astype(np.float64), 0.0) if len(known) else np.zeros(len(uniques))
                     along = np.concatenate([[0.0], np.cumsum(value[codes])])
                     ends = np.cumsum(size)
                     sums += (along[ends] - along[ends - size]).tolist()
                     sizes += size.tolist()
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[*keep, "n_grams", "loglik"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column(len(keep) + 1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[*keep, "text_hash", "n_grams", "loglik"])
 
-        passes.append(map_batches(docs.select(*keep, text_col), score, schema))
+        passes.append(map_batches(docs.select(*keep, text_col, told), score, schema))
     if len(passes) == 1:
-        return passes[0]
+        return passes[0].drop("text_hash")
     together = passes[0]
     for more in passes[1:]:
         together = together.unionByName(more)
-    return together.groupBy(*keep, "n_grams").agg(F.sum("loglik").alias("loglik"))
+    return added_up(together, [*keep, "text_hash", "n_grams"], ["loglik"], len(passes)).drop("text_hash")
+
+
+def added_up(together: DataFrame, keys: list[str], sums: list[str], passes: int) -> DataFrame:
+    """The sums over all passes for each row; rows that agree in all keys were read together and come apart again."""
+    rows = (F.count("*") / passes).cast("int")
+    summed = together.groupBy(*keys).agg(rows.alias("rows"), *[(F.sum(c) / rows).alias(c) for c in sums])
+    return summed.withColumn("nth", F.explode(F.sequence(F.lit(1), "rows"))).select(*keys, *sums)

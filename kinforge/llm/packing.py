@@ -23,7 +23,7 @@ from kinforge.llm.token_counts import chunks
 OPEN = 1024
 END_ID = 0
 #: Texts that are encoded together: distinct words are looked up once for all of them.
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 5_000_000
 
 
 class BestFit:
@@ -69,7 +69,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     end = END_ID.to_bytes(4, "little")
 
     def pack(batches):
-        encoder = pretokens.Ids(tokenizer_path)
+        encoder = pretokens.ids(tokenizer_path)
         fit = BestFit(capacity, open_bins, first_bin=TaskContext.get().partitionId() << 40)
         for b in batches:
             at = 0

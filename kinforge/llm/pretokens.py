@@ -25,7 +25,7 @@ WORD_LEVEL = re.compile(f"[{LETTER}]+|[{NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}
 SPACED_WORD = re.compile(f" [{LETTER}]+")
 #: Entries that a worker's cache may hold, and how many it remembers as seen once: a pre-token is kept from its second miss on.
 #: They bound memory and never touch results.
-CACHE_ENTRIES, ONCE_ENTRIES = 700_000, 700_000
+CACHE_ENTRIES, ONCE_ENTRIES = 150_000, 150_000
 
 
 class Recent(dict):
@@ -67,7 +67,7 @@ class Lengths:
     """Token counts of whole texts under a byte-level tokenizer: a frequent tier that is given, a recent tier that is bounded."""
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
-        self.tokenizer, self.frequent, self.recent = load(path), frequent or {}, Recent()
+        self.tokenizer, self.frequent, self.recent = load(path), frequent or {}, recent(path)
 
     def _learn(self, missing: list[str]) -> dict[str, int]:
         words = [x for x in missing if SPACED_WORD.fullmatch(x)]
@@ -183,3 +183,15 @@ class Ids:
         for i, a, b in zip(places, cuts, cuts[1:], strict=False):
             out[i] = bytes(data[a:b])
         return out
+
+
+@lru_cache(maxsize=2)
+def ids(path: str) -> Ids:
+    """The worker's own encoder: its cache outlives a task, so that later tasks find the words of earlier ones."""
+    return Ids(path)
+
+
+@lru_cache(maxsize=2)
+def recent(path: str) -> Recent:
+    """The worker's own recent tier of lengths, which outlives a task."""
+    return Recent()

@@ -16,16 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm import kneser
-from kinforge.llm.runtime import settle
+from kinforge.llm.runtime import settle, small, without
 
 QUANTILE, SLACK, MARGIN, PSEUDO = 0.99, 1.0, 0.6, 100
-#: Labels are joined by broadcast up to this many rows, and by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is settled and has few enough rows."""
-    return F.broadcast(df) if df.count() <= rows else df
 
 
 def folds(id_col: str):
@@ -39,10 +32,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = settle(labels.groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("_id", folds("_id").alias("_fold")))
     marked = docs.select(text_col, F.col(id_col).alias("_id")).join(small(trusted), "_id", "left").select(text_col, (F.coalesce(F.col("_fold"), F.lit(0)) > 0).alias("trained"))
     table = settle(kneser.score_table(settle(kneser.gram_counts(marked, text_col, "trained"))))
-    kept = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text_col)
-    scored = settle(kneser.log_likelihoods(kept, table, ["kept", "_id", "_lang"], text_col))
+    kept = docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("_doc"), F.col(lang_col).alias("_lang"), text_col)
+    scored = settle(kneser.log_likelihoods(kept, table, ["kept", "_doc", "_lang"], text_col))
     bits = -F.col("loglik") / F.greatest(F.col("n_grams"), F.lit(1))
-    held_out = scored.join(small(trusted.filter("_fold = 0")), "_id", "left_semi").filter("n_grams >= 20").withColumn("bits", bits)
+    held_out = scored.join(small(trusted.filter("_fold = 0").withColumnRenamed("_id", "_doc")), "_doc", "left_semi").filter("n_grams >= 20").withColumn("bits", bits)
     cut = lambda c: F.greatest(F.col(f"{c}.q")[1] + slack * (F.col(f"{c}.q")[1] - F.col(f"{c}.q")[0]), F.col(f"{c}.q")[0] + MARGIN)
     by_lang = held_out.groupBy("_lang").agg(F.percentile("bits", [0.5, quantile]).alias("q"))
     overall = held_out.agg(F.percentile("bits", [0.5, quantile]).alias("q"))
@@ -52,3 +45,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     typical, edge = F.coalesce("typical", "typical0"), F.coalesce("edge", "edge0")
     drawn = (-F.col("loglik") + PSEUDO * typical) / (F.col("n_grams") + PSEUDO)
     return judged.select("kept.*", "n_grams", F.exp(bits).alias("perplexity"), F.exp(edge).alias("threshold"), F.coalesce(drawn <= edge, F.lit(True)).alias("good"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are good, with all their columns."""
+    keys = ["kinforge_id", "kinforge_lang_key", "kinforge_hash"]
+    marked = docs.withColumns({"kinforge_id": F.col(id_col), "kinforge_lang_key": F.col(lang_col), "kinforge_hash": F.xxhash64(text_col)})
+    rejected = settle(judge(marked, labels, id_col, text_col, lang_col, keep=keys).filter("not good").select(*keys).distinct())
+    return without(marked, rejected, rejected.limit(0), keys).drop(*keys)

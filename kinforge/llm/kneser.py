@@ -22,7 +22,7 @@ WIDTH, ORDER = 12, 4
 #: Character numbers: 0 starts a text; REPEAT + k stands for the k-th repetition of a word in a row, up to RUN; rare code points share the top numbers.
 REPEAT, RUN, OTHER = 3900, 90, 4000
 SHARD = 1 << 22
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def without_repeats(text: str) -> str:

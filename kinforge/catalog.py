@@ -61,7 +61,7 @@ class Tables:
 
     @property
     def few(self) -> DataFrame:
-        """Candidates of the passes that ask for the most agreement, and true links: for queries that compare texts."""
+        """Candidates of b1, b4, b5a and b5b only: those that the SQL of the queries on texts holds; queries without SQL take all pairs."""
         return self.pairs.filter(F.col("pass_mask").bitwiseAND(1 | 8 | 16 | 32) != 0).select("s1_id", "cand_id", "source", "pass_mask")
 
     @property
@@ -250,35 +250,35 @@ def incremental_links(t):
     return evaluate.incremental(t.pairs, t.links)
 
 
-def _similarity(t, **made):
+def _similarity(t, pairs, **made):
     a, b = F.col("e1"), F.col("e2")
-    return features.paired(t.few, t.normal).select("s1_id", "cand_id", *[f(a, b).alias(n) for n, f in made.items()])
+    return features.paired(pairs, t.normal).select("s1_id", "cand_id", *[f(a, b).alias(n) for n, f in made.items()])
 
 
 @query
 def sim_levenshtein(t):
-    return _similarity(t, distance=lambda a, b: similarity.levenshtein(a["norm_name"], b["norm_name"]), similarity=lambda a, b: similarity.levenshtein_similarity(a["norm_name"], b["norm_name"]))
+    return _similarity(t, t.few, distance=lambda a, b: similarity.levenshtein(a["norm_name"], b["norm_name"]), similarity=lambda a, b: similarity.levenshtein_similarity(a["norm_name"], b["norm_name"]))
 
 
 @query
 def sim_jaccard3(t):
-    return _similarity(t, name=lambda a, b: similarity.jaccard(a["name_3grams"], b["name_3grams"]), address=lambda a, b: similarity.jaccard(a["addr_3grams"], b["addr_3grams"]))
+    return _similarity(t, t.few, name=lambda a, b: similarity.jaccard(a["name_3grams"], b["name_3grams"]), address=lambda a, b: similarity.jaccard(a["addr_3grams"], b["addr_3grams"]))
 
 
 @query
 def sim_dice_overlap(t):
     words = lambda e: F.array_distinct(e["name_tokens"])
-    return _similarity(t, jaccard=lambda a, b: similarity.jaccard(words(a), words(b)), dice=lambda a, b: similarity.dice(words(a), words(b)), overlap=lambda a, b: similarity.overlap(words(a), words(b)))
+    return _similarity(t, t.few, jaccard=lambda a, b: similarity.jaccard(words(a), words(b)), dice=lambda a, b: similarity.dice(words(a), words(b)), overlap=lambda a, b: similarity.overlap(words(a), words(b)))
 
 
 @query
 def sim_numeric(t):
-    return _similarity(t, overlap=lambda a, b: similarity.number_overlap(a["addr_tokens"], b["addr_tokens"]))
+    return _similarity(t, t.few, overlap=lambda a, b: similarity.number_overlap(a["addr_tokens"], b["addr_tokens"]))
 
 
 @query
 def sim_jaro_winkler(t):
-    return _similarity(t, jaro_winkler=lambda a, b: similarity.jaro_winkler(a["norm_name"], b["norm_name"]))
+    return _similarity(t, t.pairs, jaro_winkler=lambda a, b: similarity.jaro_winkler(a["norm_name"], b["norm_name"]))
 
 
 @query
@@ -289,7 +289,7 @@ def pair_features(t):
 
 @query
 def pair_features_full(t):
-    return features.pair_features(t.few.drop("source", "pass_mask"), t.normal)
+    return features.pair_features(t.pairs.drop("source", "pass_mask"), t.normal)
 
 
 @query
@@ -386,11 +386,11 @@ def sample_in_order(t):
 
 @query
 def negative_sample(t):
-    return matching.sample_negatives(blocking.labelled(t.few, t.links), 500).select("s1_id", "cand_id", "label")
+    return matching.sample_negatives(blocking.labelled(t.pairs, t.links), 500).select("s1_id", "cand_id", "label")
 
 
 def _lr(t) -> DataFrame:
-    made = features.pair_features(blocking.labelled(t.few, t.links), t.normal).cache()
+    made = features.pair_features(blocking.labelled(t.pairs, t.links), t.normal).cache()
     return matching.score(made, matching.fit(made))
 
 

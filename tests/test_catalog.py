@@ -33,6 +33,24 @@ def test_query_agrees_with_sql(spark, data, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == expected
 
 
+def test_queries_without_sql_take_all_candidates(spark, data):
+    t = catalog.Tables(spark, data)
+    pairs = t.pairs.cache()
+    ids = {(r.s1_id, r.cand_id) for r in pairs.collect()}
+    assert len(ids) > t.few.count()
+    for name in ("sim_jaro_winkler", "pair_features_full"):
+        assert {(r.s1_id, r.cand_id) for r in catalog.QUERIES[name](spark, data).select("s1_id", "cand_id").collect()} == ids
+    want = catalog.matching.sample_negatives(catalog.blocking.labelled(pairs, t.links), 500).select("s1_id", "cand_id", "label")
+    got = catalog.QUERIES["negative_sample"](spark, data)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    m = catalog.QUERIES["lr_metrics"](spark, data).first()
+    found = pairs.join(t.links, ["s1_id", "cand_id"]).count()
+    assert (m.tp + m.fp + m.fn + m.tn, m.tp + m.fn) == (len(ids), found)
+    scored = catalog._lr(t).filter("probability >= 0.5").join(t.links, ["s1_id", "cand_id"]).count()
+    sweep = catalog.QUERIES["lr_threshold_sweep"](spark, data).filter("threshold = 0.5").first()
+    assert sweep.s1_tp == scored == m.tp and sweep.s1_fp == m.fp
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -5,9 +5,9 @@ rotation the factor <turned, signs> / sqrt(dim). For another vector q, <turned q
 unbiased estimate of the inner product whose error is known from the factor; a pair goes on to exact recomputation
 unless the estimate plus SIGMAS errors stays below the threshold.
 
-Candidates. Tables draw bits of the codes as bucket keys. Bits grow with the logarithm of the rows, which keeps buckets
-small, and tables grow so that a pair right at the threshold shares a bucket with probability 1 - exp(-TRIES) (0.93);
-closer pairs do nearly always. Nothing is fitted, every row is indexed.
+Candidates. Bucket keys are signs under random rotations of their own, each used for one bit of one table. Bits grow with
+the logarithm of the rows, which keeps buckets small, and tables grow so that a pair right at the threshold shares a bucket
+with probability 1 - exp(-TRIES) (0.93), or nearly, at any size; closer pairs do nearly always. Nothing is fitted, every row is indexed.
 
 Caps. A first search gives each row its smallest near partner. A row within half the threshold's angle of a leader joins the
 leader's cap; members of one cap are all linked with each other, which settles large groups of near copies without their pairs. A
@@ -42,6 +42,16 @@ def rotations(dim: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)], axis=1)
 
 
+def key_rotations(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
+    """dim x (bits * tables): a direction for each bit of each table, from as many random orthogonal matrices as that takes.
+
+    All tables' first bits come first, then their second ones, and so on: signs under one matrix differ more evenly than
+    by chance, which would make a table whose bits all came from it agree less often.
+    """
+    rng = np.random.default_rng((seed, dim, bits))
+    return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-bits * tables // dim))], axis=1)[:, : bits * tables]
+
+
 def plan(rows: int, threshold: float) -> tuple[int, int]:
     """(bits of a key, tables)."""
     bits = max(1, round(math.log2(max(rows, 2))))
@@ -74,16 +84,14 @@ def encoded(vectors: DataFrame, id_col: str, vector_col: str, bits: int, tables:
                     continue
                 dim = len(x)
                 if dim not in drawn:
-                    rng = np.random.default_rng((seed, dim, bits))
-                    wide = ROTATIONS * dim
-                    drawn[dim] = rotations(dim, seed), np.stack([rng.permutation(wide)[:bits] if bits <= wide else rng.integers(0, wide, bits) for _ in range(tables)])
-                turn, picks = drawn[dim]
+                    drawn[dim] = rotations(dim, seed), key_rotations(dim, bits, tables, seed)
+                turn, own = drawn[dim]
                 turned = x @ turn
                 signs = turned >= 0
                 qs.append(x.astype(np.float32).tobytes())
                 codes.append(np.packbits(signs).tobytes())
                 factors.append((np.abs(turned).reshape(ROTATIONS, dim).sum(axis=1) / math.sqrt(dim)).astype(np.float32).tobytes())
-                chosen = signs[picks]
+                chosen = (x @ own >= 0).reshape(bits, tables).T
                 key = np.full(tables, dim, dtype=np.uint64)
                 for k in range(bits):
                     key = (key << np.uint64(1)) | chosen[:, k] if bits <= 48 else (key * np.uint64(0x9E3779B97F4A7C15)) ^ chosen[:, k]

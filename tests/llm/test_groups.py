@@ -179,3 +179,16 @@ def test_recall_on_the_table(spark, data):
     got = vectors.near_duplicates(big).collect()
     assert sum(r.n_links for r in got) >= 0.9 * n.sum() > 0
     assert low(r.component_id for r in got) == low(names)
+
+
+def test_recall_at_the_edge_with_the_keys_of_a_large_table(spark):
+    rng = np.random.default_rng(3)
+    bits, tables = vectors.plan(1_000_000, 0.9)
+    a, b = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([a, 0.9 * a + np.sqrt(1 - 0.81) * b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    keys = {r.id: np.array(r["keys"]) for r in vectors.encoded(df, "vec_id", "embedding", bits, tables).select("id", "keys").collect()}
+    assert np.mean([(keys[i] == keys[i + 1500]).any() for i in range(1500)]) >= 0.9

@@ -1,8 +1,10 @@
 """Secret scanning of whole texts: three base patterns, and a token-efficiency test for random strings.
 
 Ordinary words cost few tokens for their characters; random strings cost many. A run of 16 or more key-like characters
-that mixes letters with digits and stays under ``MAX_RATIO`` characters per token is reported as ``random``, unless it
-is a digest of a usual length, a UUID, or overlaps a base span. Null text counts as empty. Every input row gives one
+with letters that stays under ``MAX_RATIO`` characters per token is reported as ``random``, unless it is a digest of a usual
+length, a UUID, or overlaps a base span. Runs without digits whose letters are cased like a word's (all lower, all upper,
+or capitalised) may be long compounds and have to stay under ``WORD_RATIO``. Runs without a letter are left out: any number
+costs as many tokens as a random one. Null text counts as empty. Every input row gives one
 output row; ids may be null or repeat; other columns are ignored.
 """
 
@@ -25,7 +27,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
-MAX_RATIO = 2.2
+MAX_RATIO, WORD_RATIO = 2.2, 2.0
 
 
 @lru_cache(maxsize=2)
@@ -39,9 +41,11 @@ def vocabulary(path: str):
 
 
 def looks_random(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
-    """Whether a key-like run mixes letters and digits, is no known digest or identifier, and tokenises badly."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    """Whether a key-like run has letters, is no known digest or identifier, and tokenises badly."""
+    if not any(c.isalpha() for c in run):
         return False
+    if not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run.istitle()):
+        max_ratio = min(max_ratio, WORD_RATIO)
     if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return False
     return len(run) / len(encoding.encode_ordinary(run)) < max_ratio
@@ -58,7 +62,7 @@ def scan(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, i
     long_words = [x for x in text.split() if len(x) >= 16]
     if any(map(HEX.search, long_words)):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if any(RUN.search(x) and any(c.isdigit() for c in x) for x in long_words):
+    if any(RUN.search(x) and any(c.isalpha() for c in x) for x in long_words):
         base = sorted(spans)
         for m in RUN.finditer(text):
             if not any(a < m.end() and m.start() < b for a, _, b in base) and looks_random(m[0], encoding, max_ratio):

@@ -210,6 +210,18 @@ def test_secrets(spark, odd, none, docs):
     assert secret_scan.find_secrets(none, path).count() == 0
 
 
+def test_random_strings_of_letters_alone():
+    encoding = secret_scan.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(1)
+    for n in (16, 24, 40):
+        for low, share in (("", 1.0), ("abcdefghijklmnopqrstuvwxyz", 0.8)):
+            letters = list(low or "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+            runs = ["".join(rng.choice(letters, n)) for _ in range(200)]
+            assert sum(secret_scan.scan(f"see {x} here", encoding) == [(4, 3, 4 + n)] for x in runs) >= share * 200
+    for x in ("internationalization", "getElementByIdentifier", "Geschwindigkeitsbegrenzung", "INTERNATIONALIZATION", "some_long_variable_name", "5927243074273351", "----------------"):
+        assert secret_scan.scan(x, encoding) == []
+
+
 def test_pipeline(spark, data, docs, labels):
     """Every stage against a plain version of what it decides, each on its predecessor's rows."""
     import corpus_pipeline

@@ -285,6 +285,11 @@ def verified(pairs: DataFrame, told: DataFrame, words: int, share: tuple[int, in
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
     """Per row: id_col, n_shingles, component_id and text_hash, linking sets whose Jaccard similarity is at least share[0] / share[1]."""
+    return rooted_components(docs, id_col, text_col, words, share).drop("root")
+
+
+def rooted_components(docs: DataFrame, id_col: str, text_col: str, words: int, share: tuple[int, int]) -> DataFrame:
+    """jaccard_components and root, which tells components apart that have the same smallest id; null without words."""
     last = frequent_shingles(docs, text_col, words)
     rows = settle(sets(docs, id_col, text_col, words, share, last)).withColumn("row", F.monotonically_increasing_id())
     classes = settle(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("c"), F.min("id").alias("least_id")))
@@ -318,9 +323,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = settle(named.join(names, "root").select("s1", "s2", "n", "component_id"))
+    named = settle(named.join(names, "root").select("s1", "s2", "n", "root", "component_id"))
     out = rows.select("id", "hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("text_hash"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("text_hash"), "root")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -340,11 +345,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component one row with the smallest id. Rows without an id or without words stay."""
     keys = ["kinforge_id", "kinforge_hash"]
-    found = settle(jaccard_components(docs, id_col, text_col, words, share).filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kinforge_id"), F.col("text_hash").alias("kinforge_hash"), "component_id"))
+    found = settle(rooted_components(docs, id_col, text_col, words, share).filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kinforge_id"), F.col("text_hash").alias("kinforge_hash"), "component_id", "root"))
     heads = found.filter("kinforge_id = component_id")
-    chosen = settle(heads.groupBy("kinforge_id").agg(F.min("kinforge_hash").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
-    others = heads.join(chosen, "kinforge_id").filter("kinforge_hash <> first")
+    chosen = settle(heads.groupBy("root").agg(F.min("kinforge_hash").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
+    others = heads.join(chosen, "root").filter("kinforge_hash <> first")
     leave = settle(found.filter("kinforge_id <> component_id").select(*keys).union(others.select(*keys)).distinct())
-    repeats = settle(heads.join(chosen, "kinforge_id").filter("kinforge_hash = first").select(*keys).distinct())
+    repeats = settle(heads.join(chosen, "root").filter("kinforge_hash = first").select(*keys).distinct())
     marked = docs.withColumns({"kinforge_id": F.col(id_col), "kinforge_hash": F.xxhash64(text_col)})
     return without(marked, leave, repeats, keys).drop(*keys)

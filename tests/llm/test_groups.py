@@ -192,3 +192,10 @@ def test_recall_at_the_edge_with_the_keys_of_a_large_table(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     keys = {r.id: np.array(r["keys"]) for r in vectors.encoded(df, "vec_id", "embedding", bits, tables).select("id", "keys").collect()}
     assert np.mean([(keys[i] == keys[i + 1500]).any() for i in range(1500)]) >= 0.9
+
+
+def test_unrelated_rows_that_share_an_id_stay(spark):
+    x, y = (" ".join(f"{w}{i}" for i in range(30)) for w in "xy")
+    rows = [(5, x), (5, y), (6, x + " more"), (7, y), (5, x)]
+    left = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left)) == [(5, x), (5, y)]

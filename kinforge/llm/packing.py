@@ -1,6 +1,7 @@
 """Best-fit packing of token sequences, online and in bounded space.
 
-Each task packs the documents of its own partition as they come, so nothing is shuffled. A fixed number of bins is open;
+Each task packs the documents of its own partition as they come, so nothing is shuffled; small partitions are put together
+first, until there is one for every TASK_CHARS characters. A fixed number of bins is open;
 a bitset keyed by free space holds which amounts of free space are on offer, so that the tightest bin for a piece is the
 lowest set bit at or above its length. When one bin too many would be open, the fullest closes first. Partitions share
 no bin, which leaves at most OPEN bins of each partition short of full.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinforge.llm import pretokens
 from kinforge.llm.runtime import batch, map_batches, texts
@@ -24,6 +26,8 @@ OPEN = 1024
 END_ID = 0
 #: Texts that are encoded together: distinct words are looked up once for all of them.
 BATCH_CHARS = 5_000_000
+#: Characters a task: bins left open are few beside those that so much text fills.
+TASK_CHARS = 16_000_000
 
 
 class BestFit:
@@ -61,6 +65,10 @@ class BestFit:
         return found, self.capacity - free
 
 
+def together(docs: DataFrame, text_col: str, task_chars: int = TASK_CHARS) -> DataFrame:
+    """docs in no more partitions than their characters ask for."""
+    chars = docs.agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 1)).first()[0] or 0
+    return docs.coalesce(max(1, chars // task_chars))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", open_bins: int = OPEN) -> DataFrame:
@@ -91,4 +99,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
                 at += len(some)
                 yield batch({"id": (b.column(0).take(pa.array(rows, pa.int64())), b.column(0).type), "piece": (pieces, pa.int32()), "start": (starts, pa.int64()), "length": (lengths, pa.int64()), "sequence_id": (bins, pa.int64()), "offset": (offsets, pa.int64()), "ids": (ids, pa.binary())})
 
-    return map_batches(docs.select(id_col, text_col), pack, f"id {kind}, piece int, start long, length long, sequence_id long, offset long, ids binary").withColumnRenamed("id", id_col)
+    return map_batches(together(docs.select(id_col, text_col), text_col), pack, f"id {kind}, piece int, start long, length long, sequence_id long, offset long, ids binary").withColumnRenamed("id", id_col)

@@ -74,6 +74,11 @@ def test_packing(odd, none, docs):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_many_small_partitions_fill_sequences_too(docs):
+    total, bins = check_packing(docs.repartition(50))
+    assert bins <= 1.05 * total / 2048 + 1
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     fit = packing.BestFit(10, open_bins=2)
     assert [fit.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]

@@ -215,6 +215,12 @@ def index_stats(t):
     return blocking.index_stats(t.targets, LOW)
 
 
+@query
+def index_stats_default(t):
+    """index_stats with the limits that the operator has by default."""
+    return blocking.index_stats(t.targets, t.config)
+
+
 @query
 def cand_cumulative(t):
     return t.pairs

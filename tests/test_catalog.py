@@ -51,6 +51,16 @@ def test_queries_without_sql_take_all_candidates(spark, data):
     assert sweep.s1_tp == scored == m.tp and sweep.s1_fp == m.fp
 
 
+def test_index_stats_with_default_limits(spark, data):
+    t = catalog.Tables(spark, data)
+    got = {r.source: r for r in catalog.QUERIES["index_stats_default"](spark, data).collect()}
+    counts = {(r.source, r["pass"]): r.n for r in catalog.blocking.keys(t.targets).groupBy("source", "pass").agg({"key": "count"}).withColumnRenamed("count(key)", "n").collect()}
+    assert set(got) == {"S2", "S3"}
+    for source, r in got.items():
+        assert r.b2_pruned_keys == r.b5a_pruned_keys == r.b5b_pruned_keys == 0  # no key of this table has 500 postings
+        assert (r.b4_total_postings, r.b5a_total_postings, r.b5b_total_postings) == tuple(counts[source, p] for p in (3, 4, 5))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

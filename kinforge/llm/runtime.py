@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 #: Narrow tables are joined by broadcast up to this many rows, and by a shuffle beyond.
 BROADCAST_ROWS = 2_000_000
-#: Rows in an Arrow batch: bounds what JVM and worker hold of long texts.
+#: Rows and bytes in an Arrow batch: bound what JVM and worker hold of long texts.
 BATCH_ROWS, ROWS_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_SETTING = 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -49,11 +52,43 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
+    """df written once as Parquet into a new folder below the shared one and read back, and that folder."""
+    path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def filesystem(uri: str):
+    """(file system, path) for workers, of a folder that Spark names by URI."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each followed by as many underscores as it takes to differ from all columns of df."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose workers can import this package, wherever the driver was started, and get at most BATCH_ROWS rows at once."""
+    """mapInArrow whose workers can import this package, wherever the driver was started.
+
+    Batches hold at most BATCH_ROWS rows and, but for a single longer row, about BATCH_BYTES bytes. The plan reads both
+    settings when it is made, long after this call, so the session keeps the lower of its own values and these.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(ROWS_SETTING)) <= BATCH_ROWS:
-        conf.set(ROWS_SETTING, str(BATCH_ROWS))
+    for setting, most in ((ROWS_SETTING, BATCH_ROWS), (BYTES_SETTING, BATCH_BYTES)):
+        if not 0 < int(str(conf.get(setting)).rstrip("bB")) <= most:
+            conf.set(setting, str(most))
     environment = df.sparkSession.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))

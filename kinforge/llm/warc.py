@@ -5,8 +5,13 @@ task attempt that wrote them and listed in a manifest, which is settled before a
 attempt leaves files that no manifest names. The reader goes through a file once, inflating piece by piece, frames
 blocks by Content-Length and checks every digest; memory holds one record at a time.
 
-Null html is an empty payload; a null url is written as an empty target. Records without an id are responses and are
-never referred to. Rows that agree in id and payload count as the same record. Other columns are ignored.
+Payloads stay where they were scanned: only ids and digests are shuffled to find the revisits, which reach the writers by
+broadcast while they are few enough (``runtime.small``) and by a join on the id beyond that.
+
+Null html is an empty payload, as is empty html; a null url is written as an empty target. Long payloads are written and
+read whole, one record in memory at a time. Records without an id are responses and are never referred to. Rows that
+agree in id and payload count as the same record, and each of them is written; of equal payloads the smallest id is the
+response, whatever the order of rows. An empty table gives an empty manifest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinforge.llm.runtime import batch, map_batches, settle, shared_dir
+from kinforge.llm.runtime import batch, filesystem, map_batches, settle, shared_dir, small
 
 #: Payloads below this many bytes are always responses.
 LEAST_REVISIT = 100
@@ -35,15 +40,6 @@ class WarcError(ValueError):
     """An archive that is not framed as WARC, or whose digests don't agree."""
 
 
-def filesystem(uri: str):
-    """(file system, path) of a folder that Spark names by URI."""
-    from pyarrow import fs
-
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    uri = re.sub(r"^s3[an]:", "s3:", uri)
-    return fs.FileSystem.from_uri(uri)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, level: int = 1) -> bytes:
     """One gzip member. A revisit keeps the HTTP header, whose length tells the payload's, and leaves the payload out."""
     revisit = refers_to is not None
@@ -104,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     large = settle(large.distinct())
     first = settle(large.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("d", "refers_to"))
     revisits = large.join(first, "d").filter("page_id <> refers_to").select("page_id", F.lower(F.hex("d")).alias("digest"), "refers_to")
-    told = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    told = rows.join(small(settle(revisits)), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def write(batches):
         fs, top = filesystem(folder)

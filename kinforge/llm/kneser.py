@@ -3,7 +3,12 @@
 An n-gram is one long: WIDTH bits per character, the last character lowest, so that dropping the first character is a
 mask and the context is a shift. Counts come from every text given; all tables grow with the corpus. ``score_table``
 gives the interpolated log-probability of every n-gram that occurs in the corpus, seen in training or not; lookups then
-need no backing off. Tables are handed to workers in shards of at most SHARD entries, one pass over the texts each.
+need no backing off. Counts are sharded by n-gram and joined with the n-grams that each partition of the texts holds
+(``lookups``), which takes one pass over the texts to count and one to add up, whatever the size of the tables.
+
+Characters of the basic plane have a number each. The numbers that no text can hold (surrogates) mark repetitions, and
+stand for the rarer characters beyond the plane, several of which share one. A repetition mark is a symbol like any
+other: its probability is what the trusted text makes of it.
 """
 
 from __future__ import annotations
@@ -13,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.runtime import batch, map_batches, settle
+from kinforge.llm.lookups import Answers, deliver
+from kinforge.llm.runtime import batch, map_batches, settle, stored
 
-WIDTH, ORDER = 12, 4
-#: Character numbers: 0 starts a text; REPEAT + k stands for the k-th repetition of a word in a row, up to RUN; rare code points share the top numbers.
-REPEAT, RUN, OTHER = 3900, 90, 4000
-SHARD = 1 << 22
+WIDTH, ORDER = 16, 4
+#: Character numbers: 0 starts a text; REPEAT + k stands for the k-th repetition of a word in a row, up to RUN; characters beyond the basic plane share RARE to PLANE.
+REPEAT, RUN, PLANE = 0xD800, 90, 0xE000
+RARE = REPEAT + RUN + 1
 BATCH_CHARS = 1_000_000
 
 
@@ -39,8 +46,8 @@ def without_repeats(text: str) -> str:
 
 def grams(text: str, order: int = ORDER) -> np.ndarray:
     """One packed n-gram for each character of the text."""
-    points = np.frombuffer(without_repeats(text).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    points = np.where(points < OTHER, points, OTHER + points % ((1 << WIDTH) - OTHER))
+    points = np.frombuffer(without_repeats(text).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    points = np.where(points < 1 << WIDTH, points, RARE + points % (PLANE - RARE))
     padded = np.concatenate([np.zeros(order - 1, dtype=np.int64), points])
     packed = np.zeros(len(points), dtype=np.int64)
     for k in range(order):
@@ -61,8 +68,8 @@ def in_bulk(rows: Iterator, size: int = BATCH_CHARS) -> Iterator[list]:
         yield held
 
 
-def gram_counts(docs: DataFrame, text_col: str, trained_col: str, order: int = ORDER) -> DataFrame:
-    """g, n: every n-gram of the corpus and how often training texts (trained_col) hold it, added up in each task first."""
+def part_counts(docs: DataFrame, text_col: str, trained_col: str, order: int = ORDER) -> DataFrame:
+    """part, g, n: the n-grams of each partition and how often its training texts (trained_col) hold them."""
 
     def count(batches):
         total: dict | pd.Series = pd.Series(dtype=np.int64)
@@ -74,9 +81,19 @@ def gram_counts(docs: DataFrame, text_col: str, trained_col: str, order: int = O
                 trained = np.repeat([y for _, y in some], [len(x) for x in each])
                 n = np.bincount(codes, weights=trained, minlength=len(uniques)).astype(np.int64)
                 total = total.add(pd.Series(n, index=uniques), fill_value=0)
-        yield batch({"g": (pa.array(total.index.to_numpy(dtype=np.int64)), pa.int64()), "n": (pa.array(total.to_numpy(dtype=np.int64)), pa.int64())})
+        part = np.full(len(total), TaskContext.get().partitionId(), dtype=np.int32)
+        yield batch({"part": (pa.array(part), pa.int32()), "g": (pa.array(total.index.to_numpy(dtype=np.int64)), pa.int64()), "n": (pa.array(total.to_numpy(dtype=np.int64)), pa.int64())})
+
+    return map_batches(docs.select(text_col, trained_col), count, "part int, g long, n long")
+
+
+def gram_counts(docs: DataFrame, text_col: str, trained_col: str, order: int = ORDER) -> DataFrame:
+    """g, n: every n-gram of the corpus and how often training texts (trained_col) hold it, added up in each task first."""
+    return corpus_counts(part_counts(docs, text_col, trained_col, order))
+
 
-    return map_batches(docs.select(text_col, trained_col), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+def corpus_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -103,7 +120,7 @@ def score_table(corpus: DataFrame, order: int = ORDER) -> DataFrame:
     lower = None
     for k in range(1, order + 1):
         d = discounts(levels[k])
-        context = F.shiftright("g", WIDTH)
+        context = F.shiftrightunsigned("g", WIDTH)
         by_context = levels[k].groupBy(context.alias("h")).agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"), d)).alias("cut"))
         own = asked[k].join(levels[k], "g", "left").withColumn("h", context).join(by_context, "h", "left")
         if lower is None:
@@ -117,53 +134,25 @@ def score_table(corpus: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("g", F.log("p").alias("logp"))
 
 
-def shards(table: DataFrame, size: int = SHARD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The table as sorted arrays (g, logp), in shards that hold about size entries at most by the hash of g."""
-    parts = -(-table.count() * 5 // (size * 4)) or 1
-    for k in range(parts):
-        part = table.filter(F.pmod(F.xxhash64("g"), F.lit(parts)) == k).select("g", F.col("logp").cast("float")).toArrow()
-        g, p = part.column(0).to_numpy(), part.column(1).to_numpy()
-        order = np.argsort(g)
-        yield g[order], p[order]
-
-
-def log_likelihoods(docs: DataFrame, table: DataFrame, keep: list[str], text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """The columns in keep, n_grams and loglik of each text, under a settled score table."""
-    spark = docs.sparkSession
-    kept = docs.select(*keep)
-    told = F.xxhash64(text_col).alias("text_hash")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", text_hash long, n_grams long, loglik double"
-    passes = []
-    for g, p in shards(table):
-        shared = spark.sparkContext.broadcast((g, p))
-
-        def score(batches, shared=shared):
-            known, logp = shared.value
-            for b in batches:
-                sums, sizes = [], []
-                for some in in_bulk((t.as_py() or "",) for t in b.column(len(keep))):
-                    each = [grams(t, order) for (t,) in some]
-                    size = np.array([len(x) for x in each])
-                    codes, uniques = pd.factorize(np.concatenate(each))
-                    at = np.minimum(np.searchsorted(known, uniques), max(0, len(known) - 1))
-                    value = np.where(known[at] == uniques, logp[at].astype(np.float64), 0.0) if len(known) else np.zeros(len(uniques))
-                    along = np.concatenate([[0.0], np.cumsum(value[codes])])
-                    ends = np.cumsum(size)
-                    sums += (along[ends] - along[ends - size]).tolist()
-                    sizes += size.tolist()
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b.column(len(keep) + 1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[*keep, "text_hash", "n_grams", "loglik"])
-
-        passes.append(map_batches(docs.select(*keep, text_col, told), score, schema))
-    if len(passes) == 1:
-        return passes[0].drop("text_hash")
-    together = passes[0]
-    for more in passes[1:]:
-        together = together.unionByName(more)
-    return added_up(together, [*keep, "text_hash", "n_grams"], ["loglik"], len(passes)).drop("text_hash")
-
-
-def added_up(together: DataFrame, keys: list[str], sums: list[str], passes: int) -> DataFrame:
-    """The sums over all passes for each row; rows that agree in all keys were read together and come apart again."""
-    rows = (F.count("*") / passes).cast("int")
-    summed = together.groupBy(*keys).agg(rows.alias("rows"), *[(F.sum(c) / rows).alias(c) for c in sums])
-    return summed.withColumn("nth", F.explode(F.sequence(F.lit(1), "rows"))).select(*keys, *sums)
+def log_likelihoods(docs: DataFrame, counts: DataFrame, table: DataFrame, keep: list[str], text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """The columns in keep, n_grams and loglik of each text, under a score table; counts are the texts' own part_counts, settled."""
+    table, whole = stored(table.select("g", F.col("logp").cast("float").alias("logp")), "scores")
+    folder = deliver(counts, table, "g", "logp")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_grams long, loglik double"
+
+    def score(batches):
+        answers = Answers(folder, TaskContext.get().partitionId(), whole, "g", "logp")
+        for b in batches:
+            sums, sizes = [], []
+            for some in in_bulk((t.as_py() or "",) for t in b.column(len(keep))):
+                each = [grams(t, order) for (t,) in some]
+                size = np.array([len(x) for x in each])
+                codes, uniques = pd.factorize(np.concatenate(each))
+                value = np.nan_to_num(answers.of(uniques)) if len(uniques) else np.zeros(0)
+                along = np.concatenate([[0.0], np.cumsum(value[codes])])
+                ends = np.cumsum(size)
+                sums += (along[ends] - along[ends - size]).tolist()
+                sizes += size.tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[*keep, "n_grams", "loglik"])
+
+    return map_batches(docs.select(*keep, text_col), score, schema)

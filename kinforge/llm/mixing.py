@@ -2,11 +2,17 @@
 
 Each source gets a target in words: its share of all words by weight, at most CAP times its own words, the excess going
 to the others by weight. A source is taken in complete epochs first; the rest comes from the head of the source in the
-order of exponential keys -ln(u) / quality, u being a hash of id and seed. The prefix sums behind that run over BUCKETS
-slices of the key's range, so that no source is ever sorted in one task.
+order of exponential keys -ln(u) / quality, u being a hash of id and seed.
 
-Null text has no words; a null source is a source of its own that comes last. Rows that agree in id and size tie and are
-interchangeable. A document is taken whole: the one at the edge counts if half of it fits.
+The prefix sums behind that run over slices of the keys' logarithm, STEP of them to a unit. Quality only shifts that
+logarithm, so whatever a source's quality, a slice holds at most 1 / (e * STEP) of the rows of any one quality. Slices are
+summed GROUP at a time first, and the groups after that. So no source is sorted, and no source's slices are summed, in one
+task; only one row a source is, to share the words out.
+
+Null and empty texts have no words, no weight in the order and nothing to take; long texts are counted whole. A null source is a
+source of its own that comes last. Ids may be null or repeat: rows that agree in id and size tie and are interchangeable.
+A document is taken whole: the one at the edge counts if half of it fits. An empty table gives an empty mix. Other
+columns are returned if keep names them, and ignored if not.
 """
 
 from __future__ import annotations
@@ -15,7 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WEIGHTS, CAP, BUCKETS, SEED = (5, 2, 1), 3, 16_384, 42
+from kinforge.llm.runtime import settle
+
+WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
+#: Slices in a unit of the keys' logarithm, and slices that are summed together.
+STEP, GROUP = 4096, 256
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +50,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         letter_share(F.col(text_col)).alias("quality"),
     )
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = rows.withColumn("key", -F.log(u) / F.col("quality")).withColumn("bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("key")))), F.lit(BUCKETS - 1)).cast("int"))
+    rows = rows.withColumn("key", -F.log(u) / F.col("quality")).withColumn("bucket", F.floor(STEP * F.log("key")).cast("int"))
+    if not {text_col} & set(keep):  # narrow: words are counted once
+        rows = settle(rows)
     slices = rows.groupBy("s", "sk", "bucket").agg(F.sum("size").alias("slice"))
 
     # One row per source from here on.
@@ -65,7 +77,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .select("sk", "source_size", "target", "epochs", "rest")
     )
-    ahead = slices.withColumn("ahead", F.coalesce(F.sum("slice").over(W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    group = F.floor(F.col("bucket") / GROUP).cast("int")
+    upto = lambda total, over: F.coalesce(F.sum(total).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = slices.groupBy("sk", group.alias("group")).agg(F.sum("slice").alias("words"))
+    groups = groups.select("sk", "group", upto("words", W.partitionBy("sk").orderBy("group")).alias("before"))
+    ahead = slices.withColumn("group", group).withColumn("within", upto("slice", W.partitionBy("sk", "group").orderBy("bucket")))
+    ahead = ahead.join(groups, ["sk", "group"]).withColumn("ahead", F.col("before") + F.col("within"))
     offsets = ahead.select("sk", "bucket", "ahead").join(shares, "sk")
     within = W.partitionBy("sk", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["sk", "bucket"])

@@ -2,21 +2,27 @@
 
 Codes. A unit vector is turned by ROTATIONS random rotations and keeps the signs, one bit a dimension, and for each
 rotation the factor <turned, signs> / sqrt(dim). For another vector q, <turned q, signs> / (sqrt(dim) * factor) is an
-unbiased estimate of the inner product whose error is known from the factor; a pair goes on to exact recomputation
-unless the estimate plus SIGMAS errors stays below the threshold.
+unbiased estimate of the inner product whose error is known from the factor; q itself goes along rounded to eight bits
+a dimension, whose error is bounded and added. A pair goes on to exact recomputation unless the estimate plus SIGMAS
+errors stays below the threshold. Whole vectors are only fetched for the pairs that are left.
 
 Candidates. Bucket keys are signs under random rotations of their own, each used for one bit of one table. Bits grow with
-the logarithm of the rows, which keeps buckets small, and tables grow so that a pair right at the threshold shares a bucket
-with probability 1 - exp(-TRIES) (0.93), or nearly, at any size; closer pairs do nearly always. Nothing is fitted, every row is indexed.
-
-Caps. A first search gives each row its smallest near partner. A row within half the threshold's angle of a leader joins the
-leader's cap; members of one cap are all linked with each other, which settles large groups of near copies without their pairs. A
-second search pairs caps. The leaders' angle and the caps' radii tell most pairs of caps apart as all or none; what is
-left is decided for a member against a cap, and then for two members, by exact cosines.
-
-Vectors that are null, zero, or hold a null or a non-finite component link with nothing, as do vectors of different
-lengths. Ids may be null or repeat: every row counts as a vector of its own; a component is named after its smallest id.
-Other columns are ignored.
+the logarithm of the rows, which keeps buckets at about 2 ** SPREAD unrelated vectors, and tables grow so that a pair right
+at the threshold shares a bucket with probability 1 - exp(-TRIES) (0.95), or nearly, at any size; closer pairs do nearly
+always. Nothing is fitted, every row is indexed. Keys with more than CHUNK members are found by partial counts and dealt
+out by hash before anything meets.
+
+Caps. A row within half the threshold's angle of a leader may join the leader's cap; members of one cap are all linked with
+each other, which settles large groups of near copies without their pairs. Caps needn't be found to be complete: a few
+tables are searched, chunks of a hot bucket each for itself, and the leaders again until no bucket is hot. Work on a
+group of near copies so grows with its size. From there on a cap is its leader, with the radius that its members lie in,
+and a bucket holds it once. The leaders' angle and the radii tell most pairs of caps apart as all or none; what is left is
+decided for a member against a cap, and then for two members, by exact cosines. Angles come from the length of the
+difference, which is exact for near vectors, and within SLACK of an edge nothing is decided by them.
+
+Vectors that are null, empty, zero, or hold a null or a non-finite component link with nothing, as do vectors of different
+lengths; long vectors are compared whole. Ids may be null or repeat: every row counts as a vector of its own, equal rows
+are linked; a component is named after its smallest id. An empty table has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +31,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinforge.llm.components import connected
-from kinforge.llm.jaccard import in_chunks
-from kinforge.llm.runtime import batch, grouped, map_batches, settle
+from kinforge.llm.runtime import batch, grouped, map_batches, settle, small
 
-ROTATIONS, SIGMAS, TRIES, SEED = 4, 4.0, 2.6, 7
+ROTATIONS, SIGMAS, TRIES, SPREAD, SEED = 2, 4.0, 3.0, 7, 7
+#: Members of a bucket that are compared in one task; rows of a product that are estimated at once.
+CHUNK, BLOCK = 4096, 1024
+#: Tables that caps are looked for in, and how often leaders are searched again at most.
+CAP_TABLES, CAP_ROUNDS = 4, 8
+SLACK = 1e-7
+CODED = ["x8", "scale", "code", "factors"]
 
 
 def rotations(dim: int, seed: int = SEED) -> np.ndarray:
@@ -54,118 +65,157 @@ def key_rotations(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndar
 
 def plan(rows: int, threshold: float) -> tuple[int, int]:
     """(bits of a key, tables)."""
-    bits = max(1, round(math.log2(max(rows, 2))))
+    bits = min(max(1, round(math.log2(max(rows, 2))) - SPREAD), 48)
     agree = 1 - math.acos(threshold) / math.pi
     return bits, math.ceil(TRIES / agree**bits)
 
 
+def unit_vectors(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the lists that can link, for each length."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+    start = np.cumsum(size) - size
+    found = []
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        x = flat[start[at][:, None] + np.arange(dim)]
+        most = np.abs(x).max(axis=1)
+        fine = np.isfinite(most) & (most > 0)  # NaN and infinity show in the maximum
+        at, x = at[fine], x[fine] / most[fine][:, None]
+        found.append((at, x / np.linalg.norm(x, axis=1, keepdims=True)))
+    return [(at, x) for at, x in found if len(at)]
+
+
 def encoded(vectors: DataFrame, id_col: str, vector_col: str, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """Per row: id, x (unit vector, 64-bit), q (32-bit), code, factors and keys (one a table); x is null where nothing can link."""
+    """Per row: id, x (unit vector, 64-bit), x8 and scale (rounded), code, factors and keys (one a table); all null, and no keys, where nothing can link."""
     kind = dict(vectors.dtypes)[id_col]
 
     def each(batches):
         drawn: dict[int, tuple] = {}
         for b in batches:
-            xs, qs, codes, factors, keys = [], [], [], [], []
-            for value in b.column(1):
-                v = value.as_py()
-                x = None
-                if v and None not in v:
-                    x = np.array(v, dtype=np.float64)
-                    norm = np.linalg.norm(x)
-                    if not np.isfinite(norm) and np.isfinite(x).all():
-                        x = x / np.abs(x).max()
-                        norm = np.linalg.norm(x)
-                    x = x / norm if np.isfinite(norm) and norm > 0 else None
-                xs.append(x)
-            for x in xs:
-                if x is None:
-                    qs.append(None), codes.append(None), factors.append(None), keys.append([])
-                    continue
-                dim = len(x)
+            out = {n: [None] * len(b) for n in ("x", *CODED)}
+            keys = np.zeros((len(b), tables), dtype=np.int64)
+            usable = np.zeros(len(b), dtype=bool)
+            for at, x in unit_vectors(b.column(1)):
+                dim = x.shape[1]
                 if dim not in drawn:
                     drawn[dim] = rotations(dim, seed), key_rotations(dim, bits, tables, seed)
                 turn, own = drawn[dim]
                 turned = x @ turn
-                signs = turned >= 0
-                qs.append(x.astype(np.float32).tobytes())
-                codes.append(np.packbits(signs).tobytes())
-                factors.append((np.abs(turned).reshape(ROTATIONS, dim).sum(axis=1) / math.sqrt(dim)).astype(np.float32).tobytes())
-                chosen = (x @ own >= 0).reshape(bits, tables).T
-                key = np.full(tables, dim, dtype=np.uint64)
-                for k in range(bits):
-                    key = (key << np.uint64(1)) | chosen[:, k] if bits <= 48 else (key * np.uint64(0x9E3779B97F4A7C15)) ^ chosen[:, k]
-                keys.append(key.view(np.int64).tolist())
-            yield batch({"id": (b.column(0), b.column(0).type), "x": ([None if x is None else x.tobytes() for x in xs], pa.binary()), "q": (qs, pa.binary()), "code": (codes, pa.binary()), "factors": (factors, pa.binary()), "keys": (keys, pa.list_(pa.int64()))})
-
-    return map_batches(vectors.select(id_col, vector_col), each, f"id {kind}, x binary, q binary, code binary, factors binary, keys array<long>")
-
-
-def possible(q: np.ndarray, code: np.ndarray, factors: np.ndarray, turn: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the estimate of <q[i], o[j]> from o's code and factors may reach the threshold; q is n x dim, the rest m rows."""
-    dim = q.shape[1]
-    turned = (q @ turn).reshape(len(q), ROTATIONS, dim)
-    signs = (np.unpackbits(code, axis=1)[:, : ROTATIONS * dim].astype(np.float32) * 2 - 1).reshape(len(code), ROTATIONS, dim)
-    estimate = np.zeros((len(q), len(code)), dtype=np.float32)
-    variance = np.zeros(len(code), dtype=np.float32)
-    for r in range(ROTATIONS):
-        f = np.maximum(factors[:, r], 1e-6)
-        estimate += (turned[:, r] @ signs[:, r].T) / (math.sqrt(dim) * f)
-        variance += np.maximum(1 - f * f, 0) / (f * f * max(dim - 1, 1))
-    return estimate / ROTATIONS + SIGMAS * np.sqrt(variance) / ROTATIONS >= threshold - 1e-4
-
-
-def search_buckets(members: DataFrame, threshold: float, first_only: bool) -> DataFrame:
-    """a, b: pairs of labels with possible members in one bucket (key, part, chunk, c, label, q, code, factors); only each member's smallest partner if first_only."""
+                scale = np.abs(x).max(axis=1).astype(np.float32) / np.float32(127)
+                x8 = np.rint(x / scale[:, None].astype(np.float64)).clip(-127, 127).astype(np.int8)
+                code = np.packbits(turned >= 0, axis=1)
+                factors = (np.abs(turned).reshape(len(x), ROTATIONS, dim).sum(axis=2) / math.sqrt(dim)).astype(np.float32)
+                signs = (x @ own >= 0).reshape(len(x), bits, tables)
+                keys[at] = np.tensordot(signs.astype(np.int64), 1 << np.arange(bits, dtype=np.int64), axes=([1], [0])) + (dim << 48)
+                usable[at] = True
+                for i, place in enumerate(at.tolist()):
+                    out["x"][place], out["x8"][place], out["scale"][place] = x[i].tobytes(), x8[i].tobytes(), float(scale[i])
+                    out["code"][place], out["factors"][place] = code[i].tobytes(), factors[i].tobytes()
+            ends = np.concatenate([[0], np.cumsum(np.where(usable, tables, 0))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[usable].ravel()))
+            yield batch({"id": (b.column(0), b.column(0).type), **{n: (v, pa.float32() if n == "scale" else pa.binary()) for n, v in out.items()}, "keys": (lists, pa.list_(pa.int64()))})
+
+    return map_batches(vectors.select(id_col, vector_col), each, f"id {kind}, x binary, x8 binary, scale float, code binary, factors binary, keys array<long>")
+
+
+class Estimates:
+    """Estimates of inner products between coded vectors of one length, and how far they may be off."""
+
+    def __init__(self, x8: list[bytes], scale: np.ndarray, code: list[bytes], factors: list[bytes], turn: np.ndarray):
+        n, dim = len(x8), len(turn)
+        f = np.maximum(np.frombuffer(b"".join(factors), dtype=np.float32).reshape(n, ROTATIONS), 1e-6)
+        x = np.frombuffer(b"".join(x8), dtype=np.int8).reshape(n, dim).astype(np.float32) * scale[:, None]
+        signs = np.unpackbits(np.frombuffer(b"".join(code), dtype=np.uint8).reshape(n, -1), axis=1)[:, : ROTATIONS * dim]
+        self.turned = x @ turn
+        self.weighed = (signs.astype(np.float32) * 2 - 1) / np.repeat(f * (ROTATIONS * math.sqrt(dim)), dim, axis=1)
+        spread = np.sqrt((np.maximum(1 - f * f, 0) / (f * f * max(dim - 1, 1))).sum(axis=1)) / ROTATIONS
+        self.off = (SIGMAS * spread).astype(np.float32)
+        self.rounding = scale * np.float32(math.sqrt(dim) / 2) * (1 / f).max() + np.float32(1e-4)
+
+    def between(self, mine: slice, all_: slice) -> np.ndarray:
+        return self.turned[mine] @ self.weighed[all_].T
+
+    def most(self, mine: slice, all_: slice) -> np.ndarray:
+        """The most that the inner products may be."""
+        return self.between(mine, all_) + self.off[all_][None, :] + self.rounding[mine][:, None]
+
+
+def bucket_pairs(est: Estimates, c: np.ndarray, chunk: np.ndarray, radius: np.ndarray, start: int, end: int, edge: float, leaders_only: bool):
+    """(lower, higher) ids, as two arrays at a time, of a bucket's pairs that may be near; if leaders_only, of each member only the pair with its smallest near partner."""
+    whole = slice(start, end)
+    across = chunk[start] != chunk[start:end].max() or chunk[start] != chunk[start:end].min()
+    for lo in range(start, end, BLOCK):
+        mine = slice(lo, min(lo + BLOCK, end))
+        if leaders_only:
+            near = est.between(mine, whole) >= math.cos(edge / 2)
+            near &= c[mine][:, None] > c[whole][None, :]
+            i = np.flatnonzero(near.any(axis=1))
+            j = np.argmax(near[i], axis=1)  # members are in order of c
+        else:
+            reach = radius[mine][:, None] + radius[whole][None, :]
+            floor = math.cos(edge) if not reach.any() else np.cos(np.minimum(edge + reach, math.pi))
+            fits = (est.most(mine, whole) >= floor) & (c[mine][:, None] != c[whole][None, :])
+            if across:
+                fits &= chunk[mine][:, None] != chunk[whole][None, :]
+            i, j = np.nonzero(fits)
+        if len(i):
+            a, b = c[mine][i], c[whole][j]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def search_buckets(members: DataFrame, threshold: float, leaders_only: bool) -> DataFrame:
+    """a, b: pairs of rows that may be near, from one bucket (key, part, chunk, c, radius and the codes)."""
+    edge = math.acos(threshold)
 
     def each(batches):
         turns: dict[int, np.ndarray] = {}
-        pairs: set = set()
+        found: list[np.ndarray] = []
         for held, bounds in grouped(batches, ("key", "part")):
-            c, label, chunk = (held.column(x).to_numpy() for x in ("c", "label", "chunk"))
-            raw = {x: held.column(x).to_pylist() for x in ("q", "code", "factors")}
-            for start, end in bounds:
-                own = label[start:end]
-                if end - start < 2 or (own == own[0]).all():
-                    continue
-                sizes = {len(x) for x in raw["q"][start:end]}
-                for size in sizes:
-                    at = np.array([i for i in range(start, end) if len(raw["q"][i]) == size])
-                    dim = size // 4
-                    if dim not in turns:
-                        turns[dim] = rotations(dim).astype(np.float32)
-                    q = np.frombuffer(b"".join(raw["q"][i] for i in at), dtype=np.float32).reshape(len(at), dim)
-                    code = np.frombuffer(b"".join(raw["code"][i] for i in at), dtype=np.uint8).reshape(len(at), -1)
-                    factors = np.frombuffer(b"".join(raw["factors"][i] for i in at), dtype=np.float32).reshape(len(at), ROTATIONS)
-                    across = len(set(chunk[at])) > 1
-                    for lo in range(0, len(at), 1024):
-                        mine = at[lo : lo + 1024]
-                        fits = possible(q[lo : lo + 1024], code, factors, turns[dim], threshold) & (label[mine][:, None] != label[at][None, :])
-                        if across:
-                            fits &= chunk[mine][:, None] != chunk[at][None, :]
-                        i, j = np.nonzero(fits)
-                        if not len(i):
-                            continue
-                        x, y = label[mine][i], label[at][j]
-                        if first_only:
-                            order = np.lexsort((y, i))
-                            firsts = order[np.unique(i[order], return_index=True)[1]]
-                            x, y = x[firsts], y[firsts]
-                        pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            if len(pairs) > 200_000:
-                yield told(pairs)
-                pairs = set()
-        yield told(pairs)
-
-    def told(pairs):
-        rows = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+            last = bounds[-1][1]
+            raw = {x: held.column(x).to_pylist()[:last] for x in ("x8", "code", "factors")}
+            c, chunk, radius, scale = (held.column(x).to_numpy()[:last] for x in ("c", "chunk", "radius", "scale"))
+            dim = np.array([len(x) for x in raw["x8"]])
+            for d in np.unique(dim).tolist():
+                if d not in turns:
+                    turns[d] = rotations(d).astype(np.float32)
+                at = np.flatnonzero(dim == d)
+                est = Estimates([raw["x8"][i] for i in at], scale[at], [raw["code"][i] for i in at], [raw["factors"][i] for i in at], turns[d])
+                for start, end in np.searchsorted(at, np.array(bounds)).tolist():
+                    if end - start > 1:
+                        for a, b in bucket_pairs(est, c[at], chunk[at], radius[at], start, end, edge, leaders_only):
+                            found.append(np.stack([a, b], axis=1))
+            if sum(map(len, found)) > 200_000:
+                yield told(found)
+                found = []
+        yield told(found)
+
+    def told(found):
+        rows = np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *found]), axis=0)
         return batch({"a": (pa.array(rows[:, 0]), pa.int64()), "b": (pa.array(rows[:, 1]), pa.int64())})
 
     return map_batches(members.repartition("key", "part").sortWithinPartitions("key", "part", "c"), each, "a long, b long").distinct()
 
 
+def dealt(members: DataFrame, pairs: bool) -> tuple[DataFrame, bool]:
+    """Members of buckets (key, c) with chunk and part, and whether any bucket is hot.
+
+    A bucket of more than CHUNK members is dealt by hash into chunks, which are searched each for itself, or as pairs of chunks.
+    """
+    hot = settle(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    zero = F.lit(0).cast("long")
+    if hot.isEmpty():
+        return members.withColumns({"chunk": zero, "part": zero}), False
+    placed = members.join(small(hot), "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("c"), F.col("chunks")), zero))
+    if not pairs:
+        return placed.withColumn("part", F.col("chunk")).drop("chunks"), True
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("chunks") - F.lit(1).cast("long"))))
+    placed = placed.withColumn("other", other).withColumn("part", F.least("chunk", "other") * (1 << 31) + F.greatest("chunk", "other"))
+    return placed.drop("chunks", "other"), True
+
+
 def cosines(pairs: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs' columns and cos, the exact cosine of rows a and b in double precision."""
+    """The pairs' columns, cos, the exact cosine of rows a and b in double precision, and apart, their angle."""
     of = lambda x, to: rows.select(F.col("c").alias(x), F.col("x").alias(to))
     joined = pairs.join(of(b, "_xb"), b).join(of(a, "_xa"), a).select(*pairs.columns, "_xa", "_xb")
     names = list(pairs.columns)
@@ -174,62 +224,83 @@ def cosines(pairs: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
     def each(batches):
         for t in batches:
             left, right = t.column(width).to_pylist(), t.column(width + 1).to_pylist()
-            cos = np.full(len(left), -2.0)
+            cos, apart = np.full(len(left), -2.0), np.full(len(left), math.pi)
             for size in {len(x) for x in left}:
                 at = [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if len(x) == size == len(y)]
                 x = np.frombuffer(b"".join(left[i] for i in at), dtype=np.float64).reshape(len(at), -1)
                 y = np.frombuffer(b"".join(right[i] for i in at), dtype=np.float64).reshape(len(at), -1)
                 cos[at] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([*t.columns[:width], pa.array(cos)], names=[*names, "cos"])
+                apart[at] = 2 * np.arcsin(np.minimum(np.linalg.norm(x - y, axis=1) / 2, 1.0))
+            yield pa.RecordBatch.from_arrays([*t.columns[:width], pa.array(cos), pa.array(apart)], names=[*names, "cos", "apart"])
 
-    schema = ", ".join(f"{n} {k}" for n, k in pairs.dtypes) + ", cos double"
+    schema = ", ".join(f"{n} {k}" for n, k in pairs.dtypes) + ", cos double, apart double"
     return map_batches(joined, each, schema)
 
 
+def table_keys(first: int | None = None) -> Column:
+    """A row's bucket keys, of all tables or of the first ones, exploded."""
+    keys = F.col("keys") if first is None else F.slice("keys", 1, first)
+    return F.explode(F.transform(keys, lambda k, t: F.xxhash64(t, k)))
+
+
+def with_caps(usable: DataFrame, threshold: float) -> DataFrame:
+    """c, cap, angle: each row's leader, and a bound on its angle from it."""
+    edge = math.acos(threshold)
+    member = usable.select("c", F.col("c").alias("cap"), F.lit(0.0).alias("angle"))
+    leaders = usable.withColumn("radius", F.lit(0.0))
+    for _ in range(CAP_ROUNDS):
+        entries, hot = dealt(leaders.select(table_keys(CAP_TABLES).alias("key"), "c", "radius", *CODED), False)
+        pairs = cosines(search_buckets(entries, threshold, True), usable, "a", "b").join(leaders.select(F.col("c").alias("b"), "radius"), "b")
+        near = settle(pairs.filter(F.col("apart") + F.col("radius") <= edge / 2 - SLACK).select("a", "b", "apart"))
+        if near.isEmpty():
+            break
+        followers = near.select(F.col("b").alias("a")).distinct()
+        led = near.join(followers, "a", "left_anti").groupBy(F.col("b").alias("cap")).agg(F.min(F.struct("a", "apart")).alias("m"))
+        joined = member.join(led, "cap", "left")
+        member = settle(joined.select("c", F.coalesce("m.a", "cap").alias("cap"), (F.col("angle") + F.coalesce("m.apart", F.lit(0.0))).alias("angle")))
+        if not hot:
+            break
+        leaders = usable.join(member.groupBy(F.col("cap").alias("c")).agg(F.max("angle").alias("radius")), "c")
+    return member
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Per row: id_col, n_links, component_id and kept."""
     bits, tables = plan(vectors.select(id_col).count(), threshold)
     rows = settle(encoded(vectors, id_col, vector_col, bits, tables)).withColumn("c", F.monotonically_increasing_id())
     usable = rows.filter("x is not null")
-    in_bucket = W.partitionBy("key")
-    entries = usable.select(F.posexplode("keys").alias("t", "k"), "c").select(F.xxhash64("t", "k").alias("key"), "c")
-    entries = settle(entries.withColumn("many", F.count("*").over(in_bucket)).filter("many > 1").withColumn("nth", F.row_number().over(in_bucket.orderBy("c"))))
-    with_codes = lambda members: members.join(usable.select("c", "q", "code", "factors"), "c")
-    edge, slack = math.acos(threshold), 1e-9
-
-    # Caps: each row's leader, and its angle from it.
-    first = search_buckets(with_codes(in_chunks(entries).withColumn("label", F.col("c"))), threshold, True)
-    near = settle(cosines(first, usable, "a", "b").withColumn("angle", F.acos(F.least(F.col("cos"), F.lit(1.0)))).filter(F.col("angle") <= edge / 2 - slack))
-    followers = near.select(F.col("b").alias("a")).distinct()
-    led = near.join(followers, "a", "left_anti").groupBy(F.col("b").alias("c")).agg(F.min(F.struct("a", "angle")).alias("m")).select("c", F.col("m.a").alias("cap"), F.col("m.angle").alias("angle"))
-    member = settle(usable.select("c").join(led, "c", "left").select("c", F.coalesce("cap", "c").alias("cap"), F.coalesce("angle", F.lit(0.0)).alias("angle")))
+    edge = math.acos(threshold)
+    member = with_caps(usable, threshold)
     caps = settle(member.groupBy("cap").agg(F.count("*").alias("n"), F.max("angle").alias("radius")))
 
-    # Pairs of caps that share a bucket with possible members.
-    placed = entries.select("key", "c").join(member.select("c", F.col("cap").alias("label")), "c")
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    placed = placed.join(open_keys, "key").withColumns({"many": F.count("*").over(in_bucket), "nth": F.row_number().over(in_bucket.orderBy("c"))})
-    between = search_buckets(with_codes(in_chunks(placed)), threshold, False)
+    # Pairs of caps that share a bucket, by their leaders.
+    large = caps.filter("n > 1")
+    codes = rows.select(F.col("c").alias("cap"), *CODED)
+    alone = usable.join(large.select("cap").join(member, "cap").select("c"), "c", "left_anti")
+    alone = alone.select(table_keys().alias("key"), "c", F.lit(0.0).alias("radius"), *CODED)
+    shared = usable.join(member, "c").join(large, "cap").select(table_keys().alias("key"), "cap").distinct()
+    shared = shared.join(codes, "cap").join(large.select("cap", "radius"), "cap").select("key", F.col("cap").alias("c"), "radius", *CODED)
+    entries, _ = dealt(alone.union(shared), True)
+    between = search_buckets(entries, threshold, False)
     of = lambda x: caps.select(F.col("cap").alias(x), F.col("n").alias(f"n_{x}"), F.col("radius").alias(f"r_{x}"))
-    angle = F.acos(F.greatest(F.least(F.col("cos"), F.lit(1.0)), F.lit(-1.0)))
-    told = cosines(between, usable, "a", "b").withColumn("apart", angle).join(of("a"), "a").join(of("b"), "b")
-    alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    told = cosines(between, usable, "a", "b").join(of("a"), "a").join(of("b"), "b")
+    single = (F.col("n_a") == 1) & (F.col("n_b") == 1)
     reach = F.col("r_a") + F.col("r_b")
-    whole = F.when(alone, F.col("cos") >= threshold).otherwise(F.col("apart") + reach <= edge - slack)
-    none = F.when(alone, F.col("cos") < threshold).otherwise(F.col("apart") - reach > edge + slack)
-    told = settle(told.withColumns({"whole": whole, "none": none}).select("a", "b", "n_a", "n_b", "whole", "none"))
+    whole = F.when(single, F.col("cos") >= threshold).otherwise(F.col("apart") + reach <= edge - SLACK)
+    none = F.when(single, F.col("cos") < threshold).otherwise(F.col("apart") - reach > edge + SLACK)
+    told = settle(told.withColumns({"whole": whole, "none": none}).filter("not none").select("a", "b", "n_a", "n_b", "whole"))
     all_linked = told.filter("whole").select("a", "b", "n_a", "n_b")
-    unclear = told.filter("not whole and not none").select("a", "b")
+    unclear = told.filter("not whole").select("a", "b")
 
     # A member against a cap, where two caps are neither all linked nor apart.
     one = unclear.join(member.select(F.col("cap").alias("a"), "c"), "a").select("c", F.col("a").alias("cap_a"), F.col("b").alias("to"))
-    one = settle(cosines(one, usable, "c", "to").withColumn("apart", angle).join(caps.select(F.col("cap").alias("to"), "n", "radius"), "to"))
-    covers = F.col("apart") + F.col("radius") <= edge - slack
-    misses = F.col("apart") - F.col("radius") > edge + slack
+    one = settle(cosines(one, usable, "c", "to").join(caps.select(F.col("cap").alias("to"), "n", "radius"), "to"))
+    covers = F.col("apart") + F.col("radius") <= edge - SLACK
+    misses = F.col("apart") - F.col("radius") > edge + SLACK
     covered = one.filter(covers).select("c", "cap_a", "to", "n")
     # Two members, where that is unclear too.
     two = one.filter(~covers & ~misses).select("c", "cap_a", "to").join(member.select(F.col("cap").alias("to"), F.col("c").alias("d")), "to")
-    linked = settle(cosines(two.select("c", "d", "cap_a", "to"), usable, "c", "d").filter(F.col("cos") >= threshold))
+    linked = settle(cosines(two.select("c", "d", "cap_a", "to"), usable, "c", "d").filter(F.col("cos") >= threshold).select("c", "d", "cap_a", "to"))
 
     by_cap = all_linked.select(F.col("a").alias("cap"), F.col("n_b").alias("k")).union(all_linked.select("b", "n_a")).union(covered.select("to", F.lit(1).cast("long"))).groupBy("cap").agg(F.sum("k").alias("by_cap"))
     by_row = covered.select("c", F.col("n").alias("k")).union(linked.select("c", F.lit(1).cast("long"))).union(linked.select("d", F.lit(1).cast("long"))).groupBy("c").agg(F.sum("k").alias("by_row"))

@@ -6,8 +6,8 @@ between classes, so copies are never paired.
 Blocks. In one global order of all shingles, two sets of at least the wanted similarity share one of their first
 n - ceil(share * n) + 1 shingles. The order puts shingles of long words first, as they are rarer, and a bounded list of
 frequent shingles last: that keeps common words, and passages that many documents share, out of the blocks. Any order
-gives the same links. A block that is too large for a task is dealt out
-as pairs of chunks.
+gives the same links. Blocks are counted and told apart by partial sums, so that no task sees a whole one; those of more
+than CHUNK members are dealt by hash into chunks before anything else.
 
 Count vectors. Each set is also a point: how many of its shingles fall in each of GROUPS hash groups. The overlap of two
 sets is at most the sum of the coordinate-wise minima of their points, and so is that of a set with anything inside a
@@ -15,13 +15,16 @@ box at the box's upper corner. Blocks index their points in an R-tree and search
 
 Blocks with the same members count once.
 
-Links. A first search gives each member its smallest and its most similar possible partner; those pairs are verified on
-the whole sets and connected. A second search goes over the blocks that still hold more than one component and gives every pair across
-components that the bound lets through; these are verified too. Pairs left unverified thus either fail the bound or lie
+Links. A first search gives each member its smallest and its most similar possible partner in its block, or chunk; those
+pairs are verified on the whole sets and connected. Where there are large blocks, one member of each component is searched in
+them likewise, so that chunks of one group of copies come together without being paired. The last search goes over the
+blocks that still hold more than one component, large ones as pairs of chunks, and gives every pair across components
+that the bound lets through; these are verified too. Pairs left unverified thus either fail the bound or lie
 in one component already, so components are exact and large groups of near copies aren't expanded into pairs.
 
-Null and empty texts have no shingles and link with nothing. Ids may be null or repeat: repeated rows are one class, and
-a component is named after its smallest id, or null if it has none. Other columns are ignored.
+Null and empty texts have no shingles and link with nothing; long texts are shingled whole. Ids may be null or repeat:
+repeated rows and rows with the same set are one class, and a component is named after its smallest id, or null if it
+has none. An empty table has no rows. Other columns are ignored, and returned by ``drop_near_copies``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,12 +33,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinforge.llm.components import connected
 from kinforge.llm.kneser import in_bulk
-from kinforge.llm.runtime import batch, grouped, map_batches, settle, small, texts, without
+from kinforge.llm.runtime import batch, grouped, map_batches, settle, small, texts, unused, without
 
 GROUPS, LEAF, CHUNK = 256, 32, 4096
 #: Frequent shingles: entries of the list, of a partition's share of it, and the least count there.
@@ -251,13 +253,33 @@ def search_blocks(members: DataFrame, share: tuple[int, int], first_only: bool)
     return map_batches(dealt, each, "a long, b long").distinct()
 
 
-def in_chunks(postings: DataFrame) -> DataFrame:
-    """Blocks of more than CHUNK members as pairs of chunks: a member goes to each pair that its chunk is part of."""
-    chunk = F.floor((F.col("nth") - 1) / CHUNK).cast("long")
-    last = F.floor((F.col("many") - 1) / CHUNK).cast("long")
-    other = F.explode(F.when(F.col("last") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    dealt = postings.withColumns({"chunk": chunk, "last": last}).withColumn("other", other)
-    return dealt.withColumn("part", F.least("chunk", "other") * (1 << 31) + F.greatest("chunk", "other"))
+def many_chunks(counts: DataFrame) -> DataFrame:
+    """key, chunks: the blocks (key, many) that are too large for a task, which are few: each has more than CHUNK postings."""
+    return settle(counts.filter(F.col("many") > CHUNK).select("key", F.ceil(F.col("many") / CHUNK).cast("long").alias("chunks")))
+
+
+def chunked(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """Members of blocks (key, c) with chunk, chunks (null for a block that isn't hot)."""
+    return members.join(small(hot), "key", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("c", F.lit(7)), F.col("chunks")), F.lit(0).cast("long")))
+
+
+def in_blocks(members: DataFrame, blocks: DataFrame, hot: DataFrame) -> DataFrame:
+    """Chunked members of some blocks (key); a hot block's members meet it in as many places as it has chunks."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    places = blocks.join(small(hot), "key", "left").select("key", F.explode(F.sequence(zero, F.coalesce("chunks", one) - one)).alias("chunk"))
+    return members.join(places, ["key", "chunk"], "left_semi")
+
+
+def each_chunk(members: DataFrame) -> DataFrame:
+    """Chunked members, with every chunk for itself; within it no member is apart."""
+    return members.withColumn("part", F.col("chunk")).withColumn("chunk", F.lit(0).cast("long"))
+
+
+def chunk_pairs(members: DataFrame) -> DataFrame:
+    """Chunked members, with a member going to each pair of chunks that its own is part of."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("chunks") - one)))
+    return members.withColumn("other", other).withColumn("part", F.least("chunk", "other") * (1 << 31) + F.greatest("chunk", "other")).drop("other")
 
 
 def verified(pairs: DataFrame, told: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -295,29 +317,35 @@ def rooted_components(docs: DataFrame, id_col: str, text_col: str, words: int, s
     classes = settle(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("c"), F.min("id").alias("least_id")))
     heads = rows.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
     points = heads.select(F.col("row").alias("c"), "n", "point")
-    by_key = W.partitionBy("key")
-    postings = heads.select(F.explode("keys").alias("key"), F.col("row").alias("c"), "n")
-    members = [F.bit_xor(F.xxhash64("c", F.lit(k))).over(by_key).alias(f"x{k}") for k in (1, 2)]
-    shared = settle(postings.select("*", F.count("*").over(by_key).alias("many"), *members).filter("many > 1"))
+    postings = heads.select(F.explode("keys").alias("key"), F.col("row").alias("c"))
+    members = [F.bit_xor(F.xxhash64("c", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    blocks = settle(postings.groupBy("key").agg(F.count("*").alias("many"), *members).filter("many > 1"))
+    hot = many_chunks(blocks)
     # Blocks with the same members give the same pairs: one of them stays.
-    single = shared.groupBy("many", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    postings = settle(shared.join(single, "key", "left_semi").select("key", "c", "n", "many").withColumn("nth", F.row_number().over(by_key.orderBy("n", "c"))))
-    with_points = lambda members: members.join(points.select("c", "point"), "c")
-    first = settle(search_blocks(with_points(in_chunks(postings).withColumn("label", F.col("c"))), share, True))
-
-    needed = settle(first.select(F.col("a").alias("c")).union(first.select("b")).distinct())
-    wanted = settle(classes.join(needed, "c").select("c", "s1", F.col("least_id").alias("wanted_id")))
-    told = settle(texts_of(docs, wanted, id_col, text_col, words))
-    links = settle(verified(first, told, words, share))
+    blocks = blocks.groupBy("many", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    postings = settle(in_blocks(chunked(postings, hot), blocks, hot))
+    with_points = lambda members: members.join(points, "c")
+    first = settle(search_blocks(with_points(each_chunk(postings)).withColumn("label", F.col("c")), share, True))
+    needed, told, links = known_pairs(docs, classes, first, None, id_col, text_col, words, share)
     labels = connected(links)
-
-    placed = postings.select("key", "c").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("label", F.coalesce("root", "c"))
-    placed = placed.join(needed, "c", "left_semi")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_blocks = placed.select("key", "c", "label").join(mixed, "key").join(points.select("c", "n"), "c")
-    open_blocks = open_blocks.withColumns({"many": F.count("*").over(by_key), "nth": F.row_number().over(by_key.orderBy("n", "c"))})
-    rest = search_blocks(with_points(in_chunks(open_blocks)), share, False)
-    more = settle(verified(rest.join(first, ["a", "b"], "left_anti"), told, words, share))
+    root_of = lambda members, labels: members.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
+    if not hot.isEmpty():
+        placed = root_of(postings.filter("chunks is not null").select("key", "c"), labels)
+        heads_ = settle(placed.groupBy("key", "label").agg(F.min("c").alias("c")))
+        dealt = each_chunk(chunked(heads_, many_chunks(heads_.groupBy("key").agg(F.count("*").alias("many")))))
+        second = settle(search_blocks(with_points(dealt), share, True).join(first, ["a", "b"], "left_anti"))
+        needed, told, more = known_pairs(docs, classes, second, (needed, told), id_col, text_col, words, share)
+        first, links = first.union(second), links.union(more)
+        labels = connected(links)
+
+    # Every pair with a link has two members that the first search gave a possible partner, or that a chunk kept apart.
+    placed = root_of(postings.select("key", "c", "chunks"), labels)
+    placed = placed.filter("chunks is not null").unionByName(placed.filter("chunks is null").join(needed, "c", "left_semi")).drop("chunks")
+    left = settle(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")))
+    hot = many_chunks(left)
+    open_ = in_blocks(chunked(placed, hot), left.filter("lo <> hi").select("key"), hot)
+    rest = settle(search_blocks(with_points(chunk_pairs(open_)), share, False).join(first, ["a", "b"], "left_anti"))
+    _, _, more = known_pairs(docs, classes, rest, (needed, told), id_col, text_col, words, share)
     if not more.isEmpty():
         labels = connected(links.union(more))
 
@@ -328,28 +356,57 @@ def rooted_components(docs: DataFrame, id_col: str, text_col: str, words: int, s
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("hash").alias("text_hash"), "root")
 
 
+def known_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, known: tuple[DataFrame, DataFrame] | None, id_col: str, text_col: str, words: int, share: tuple[int, int]):
+    """(needed, told, links): the classes of all pairs so far, a text of each, and the settled pairs that are similar enough; known are the first two of earlier pairs."""
+    if known and pairs.isEmpty():
+        return *known, pairs
+    ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    fresh = settle(ends.join(known[0], "c", "left_anti") if known else ends)
+    wanted = settle(classes.join(fresh, "c").select("c", "s1", F.col("least_id").alias("wanted_id")))
+    texts_ = texts_of(docs, wanted, id_col, text_col, words)
+    needed, told = (known[0].union(fresh), known[1].union(settle(texts_))) if known else (fresh, settle(texts_))
+    return needed, told, settle(verified(pairs, told, words, share))
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """c, text: a text of each wanted class, from a row that has its smallest id and its signature."""
-    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(wanted), F.col("_id").eqNullSafe(F.col("wanted_id"))).select("c", "s1", "_text")
+    """c, text: a text of each wanted class, from a row that has its smallest id and its signature.
+
+    Classes without an id are told by their signature alone, which the rows without an id are asked for.
+    """
+    texts_ = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    asked = texts_.join(small(wanted.filter("wanted_id is not null")), F.col("_id") == F.col("wanted_id")).select("c", "s1", "_text")
+
+    def signature(shingler, text):
+        return xxhash.xxh3_64_intdigest(shingler.hashes(text).tobytes(), 1) - (1 << 63)
 
     def each(batches):
         shingler = Shingler(words)
         for b in batches:
-            keep = [i for i, (s1, text) in enumerate(zip(b.column(1).to_pylist(), texts(b.column(2)), strict=True)) if xxhash.xxh3_64_intdigest(shingler.hashes(text).tobytes(), 1) - (1 << 63) == s1]
+            keep = [i for i, (s1, text) in enumerate(zip(b.column(1).to_pylist(), texts(b.column(2)), strict=True)) if signature(shingler, text) == s1]
             at = pa.array(keep, pa.int64())
             yield batch({"c": (b.column(0).take(at), pa.int64()), "text": (b.column(2).take(at), pa.string())})
 
-    return map_batches(asked, each, "c long, text string").dropDuplicates(["c"])
+    def sign(batches):
+        shingler = Shingler(words)
+        for b in batches:
+            yield batch({"s1": ([signature(shingler, t) for t in texts(b.column(0))], pa.int64()), "_text": (b.column(0), pa.string())})
+
+    found = map_batches(asked, each, "c long, text string")
+    nameless = wanted.filter("wanted_id is null").select("c", "s1")
+    if not nameless.isEmpty():
+        signed_ = map_batches(texts_.filter("_id is null").select("_text"), sign, "s1 long, _text string")
+        found = found.union(signed_.join(small(nameless), "s1").select("c", "_text"))
+    return found.dropDuplicates(["c"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component one row with the smallest id. Rows without an id or without words stay."""
-    keys = ["kinforge_id", "kinforge_hash"]
-    found = settle(rooted_components(docs, id_col, text_col, words, share).filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("kinforge_id"), F.col("text_hash").alias("kinforge_hash"), "component_id", "root"))
-    heads = found.filter("kinforge_id = component_id")
-    chosen = settle(heads.groupBy("root").agg(F.min("kinforge_hash").alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
-    others = heads.join(chosen, "root").filter("kinforge_hash <> first")
-    leave = settle(found.filter("kinforge_id <> component_id").select(*keys).union(others.select(*keys)).distinct())
-    repeats = settle(heads.join(chosen, "root").filter("kinforge_hash = first").select(*keys).distinct())
-    marked = docs.withColumns({"kinforge_id": F.col(id_col), "kinforge_hash": F.xxhash64(text_col)})
+    keys = unused(docs, "kinforge_id", "kinforge_hash")
+    found = settle(rooted_components(docs, id_col, text_col, words, share).filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias(keys[0]), F.col("text_hash").alias(keys[1]), "component_id", "root"))
+    heads = found.filter(F.col(keys[0]) == F.col("component_id"))
+    chosen = settle(heads.groupBy("root").agg(F.min(keys[1]).alias("first"), F.count("*").alias("rows")).filter("rows > 1"))
+    others = heads.join(chosen, "root").filter(F.col(keys[1]) != F.col("first"))
+    leave = settle(found.filter(F.col(keys[0]) != F.col("component_id")).select(*keys).union(others.select(*keys)).distinct())
+    repeats = settle(heads.join(chosen, "root").filter(F.col(keys[1]) == F.col("first")).select(*keys).distinct())
+    marked = docs.withColumns({keys[0]: F.col(id_col), keys[1]: F.xxhash64(text_col)})
     return without(marked, leave, repeats, keys).drop(*keys)

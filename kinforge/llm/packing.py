@@ -7,7 +7,8 @@ lowest set bit at or above its length. When one bin too many would be open, the
 no bin, which leaves at most OPEN bins of each partition short of full.
 
 Null text counts as empty: a document is its ids and one end id, so an empty one is a piece of length 1. Only documents
-longer than a bin are cut. Ids may be null or repeat: every row is packed on its own. Other columns are ignored.
+longer than a bin are cut, and long texts are encoded whole first. Ids may be null or repeat: every row is packed on its
+own, and equal rows are packed as often as they come. An empty table has no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Ordinary words cost few tokens for their characters; random strings cost many. A
 with letters that stays under ``MAX_RATIO`` characters per token is reported as ``random``, unless it is a digest of a usual
 length, a UUID, or overlaps a base span. Runs without digits whose letters are cased like a word's (all lower, all upper,
 or capitalised) may be long compounds and have to stay under ``WORD_RATIO``. Runs without a letter are left out: any number
-costs as many tokens as a random one. Null text counts as empty. Every input row gives one
-output row; ids may be null or repeat; other columns are ignored.
+costs as many tokens as a random one. Digests and UUIDs are known in either case. Null text counts as empty; empty and
+blank texts have no spans; long texts are scanned whole, and a run of any length is one span. Every input row gives one
+output row, repeated rows too; ids may be null or repeat; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 MAX_RATIO, WORD_RATIO = 2.2, 2.0
 
 

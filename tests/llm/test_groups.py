@@ -199,3 +199,68 @@ def test_unrelated_rows_that_share_an_id_stay(spark):
     rows = [(5, x), (5, y), (6, x + " more"), (7, y), (5, x)]
     left = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left)) == [(5, x), (5, y)]
+
+
+def test_runs_merge_in_as_many_rounds_as_places_have_bits(spark):
+    assert [exact.rounds_for(n) for n in (0, 1, 2, 3, 8, 9, 211, 10**6)] == [0, 0, 1, 2, 3, 4, 8, 12]
+    rows = [(i, "same text" if i % 3 else f"text {i % 50}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(11, "doc_id")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(df).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = {i: (min(g, key=lambda x: (-len(t), x)), len(g), i == min(g)) for t, g in groups.items() for i in g}
+    assert got == want
+    run = spark.createDataFrame([(p, bytes([d]), d, 1, d, p) for p in range(8) for d in range(40)], "place int, digest binary, check long, size int, best int, n long")
+    for r in range(3):
+        run = exact.exchanged(run, r, 8)
+        assert run.count() == 8 * 40 >> (r + 1)  # runs of pairs of places have met
+        assert run.filter(f"(place & {(1 << r + 1) - 1}) != (check & {(1 << r + 1) - 1})").count() == 0
+        parts = run.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("place").alias("n")).collect()
+        assert all(x.n == 1 for x in parts)  # a place is a partition
+    assert run.filter("place != check % 8").count() == 0
+
+
+def test_links_at_the_edge_are_exact(spark):
+    t = np.arccos(0.9) - 3e-9
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 1e-8, 0.0]), (3, [float(np.cos(t)), float(-np.sin(t)), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, n, _ = brute_vectors(df.collect())
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    assert all(got[i] <= int(k) for (i, _), k in zip(rows, n)) and got[1] >= 1 and n.tolist() == [2, 1, 1]
+
+
+def test_hot_buckets_of_vectors(spark, monkeypatch):
+    """Groups of near copies that are many times a chunk, with links across their edges."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((4, 24))
+    parts = [c + rng.standard_normal((150, 24)) * s for c, s in zip(centre, (0.0, 0.01, 0.1, 0.3))]
+    near = centre[1] + rng.standard_normal((40, 24)) * 0.42
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([*parts, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    ordered = sorted(df.collect(), key=lambda r: r.vec_id)
+    links, n, names = brute_vectors(ordered)
+    monkeypatch.setattr(vectors, "CHUNK", 20)
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    assert sum(got[i].n_links for i, _ in rows) >= 0.9 * n.sum() and all(got[i].n_links <= n[i] for i, _ in rows)
+    assert sum(got[i].component_id == c for (i, _), c in zip(rows, names)) >= 0.97 * len(rows)
+    assert all(got[i].n_links >= 149 for i in range(300))
+    usable = vectors.encoded(df, "vec_id", "embedding", *vectors.plan(len(rows), 0.9)).withColumn("c", F.col("id"))
+    member = vectors.with_caps(usable, 0.9).collect()
+    assert len({r.cap for r in member if r.c < 300}) <= 8  # of 300 rows, two groups
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    assert all(2 * np.arcsin(min(1.0, np.linalg.norm(x[r.c] - x[r.cap]) / 2)) <= r.angle + 1e-9 <= np.arccos(0.9) / 2 for r in member)
+
+
+def test_estimates_hold(spark):
+    """The most that an inner product may be, from codes, is hardly ever below what it is."""
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((300, 48))
+    b = np.concatenate([a + rng.standard_normal((300, 48)) * rng.uniform(0.05, 2, (300, 1))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    rows = sorted(vectors.encoded(df, "vec_id", "embedding", 4, 2).collect(), key=lambda r: r.id)
+    est = vectors.Estimates(*([bytes(r.x8) for r in rows], np.array([r.scale for r in rows], dtype=np.float32), [bytes(r.code) for r in rows], [bytes(r.factors) for r in rows]), vectors.rotations(48).astype(np.float32))
+    x = np.stack([np.frombuffer(r.x, dtype=np.float64) for r in rows])
+    real, whole = x @ x.T, slice(0, 600)
+    assert np.mean(est.most(whole, whole) >= real) > 0.9995
+    assert abs(float(np.mean(est.between(whole, whole) - real))) < 0.01

@@ -1,11 +1,14 @@
 """The registered queries of the entity-resolution operators.
 
-The test tables hold no businesses; ``entities`` derives some from documents, in three sources, and takes as true links
-the pairs across sources whose remaining text is the same.
+The test tables hold no businesses. ``entities`` derives one from each customer, whose words, number and country come
+from hashes of the key, and up to five records of it in three sources: the master's is clean, and the others vary name,
+address and country as a hash of the record says, or lack them. True links are those between records of one business.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,40 +19,118 @@ from kinforge.sources import entities as src
 
 #: Pruning limits that small tables reach.
 LOW = blocking.Config(b2_most=20, b5_most=20)
+#: Negatives that a fit takes at most, as the matching run's default.
+MOST_NEGATIVES = 5_000_000
 RULE = ("name_exact", "name_token_jaccard", "country_match")
 
 
+def _digit(h, i):
+    """The i-th hexadecimal digit of a hash, as a number."""
+    return F.conv(F.substring(h, i, 1), 16, 10).cast("int")
+
+
+def _word(h, start, n):
+    """n letters from a hash."""
+    return F.translate(F.substring(h, start, n), "0123456789abcdef", "aeioubcdfglmnrst")
+
+
+def _by(value, variants, otherwise):
+    """The variant whose numbers hold value."""
+    made = F
+    for numbers, variant in variants:
+        made = made.when(value.isin(*numbers), variant)
+    return made.otherwise(otherwise)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.trim("text"), r"[ \t\r\n]+")
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", words.alias("t"))
-    some = lambda start, n: F.array_join(F.slice("t", start, n), " ")
-    suffix = F.element_at(F.array(*[F.lit(s) for s in (" Inc.", " LLC", " Pvt. Ltd.", " & Co", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    number = (100 + F.length(some(5, 4))).cast("string")
-    return t.select(
-        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.concat(some(1, 4), suffix).alias("business_name"),
-        F.when(F.col("doc_id") % 31 == 0, "").otherwise(F.concat(number, F.lit(" "), some(5, 4))).alias("business_address"),
-        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(F.col("lang")).alias("country"),
-        some(5, 36).alias("body"),
+    """entity_id, business_name, business_address, country, and business, which tells the truth."""
+    k = F.col("c_custkey")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.lower("n_name").alias("home"))
+    b = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, F.md5(k.cast("string")).alias("b"), "c_nationkey")
+    lot = F.conv(F.substring("b", 20, 2), 16, 10).cast("int")  # of 256: one country has a quarter, and in it a frequent word and a crowded address
+    b = b.withColumn("lot", lot).withColumn("n_nationkey", F.when(F.col("lot") < 64, 0).otherwise(F.col("c_nationkey"))).join(nations, "n_nationkey")
+    both = F.concat(F.lit("w"), F.when(F.col("lot") < 6, F.lit(0)).otherwise(k % 2048).cast("string"))
+    central = F.col("lot").between(58, 63)
+    b = b.withColumns(
+        {
+            "w1": _word("b", 1, 6),
+            "w2": _word(F.md5(both), 1, 5),
+            "street": F.when(central, "harbour").otherwise(_word("b", 9, 6)),
+            "place": F.when(central, "quayside").otherwise(_word(F.md5(F.concat(F.lit("l"), (k % 211).cast("string"))), 1, 7)),
+            "number": F.when(central, 100).otherwise((k * 37) % 900 + 100),
+            "postal": (10000 + (k * 13) % 89999).cast("string"),
+        }
+    )
+    record = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(c).alias("copy")) for s, c in ((1, 0), (2, 0), (2, 1), (3, 0), (3, 1))])).alias("r")
+    r = b.select("*", record).select("*", "r.source", "r.copy").withColumn("h", F.md5(F.concat_ws(":", k, "source", "copy")))
+    copies = _digit(F.md5(F.concat_ws(":", k, "source")), 1)
+    r = r.filter((F.col("source") == 1) | ((copies > 1) & ((F.col("copy") == 0) | (copies == 15))))
+    clean = F.col("source") == 1
+    w1, w2, gap = F.col("w1"), F.col("w2"), F.lit(" ")
+    plain = F.concat(w1, gap, w2)
+    without = lambda w, i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, 20))
+    names = (
+        ((8,), w1),
+        ((9,), F.concat(w2, gap, w1)),
+        ((10,), F.concat(without(w1, 3), gap, w2)),
+        ((11,), F.concat(F.upper(w1), F.lit("  "), w2)),
+        ((12,), F.concat(F.lit("-- "), plain)),
+        ((13,), F.concat(F.regexp_replace(w1, "e", "é"), gap, w2)),
+        ((14,), F.concat(F.substring(w1, 1, 3), gap, w2)),
+        ((15,), F.concat(w1, w2)),
+    )
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (" Inc.", " LLC", " Pvt. Ltd.", " & Co", "")]), F.when(clean | (_digit("h", 2) < 10), _digit("b", 23) % 5).otherwise(_digit("h", 2) % 5) + 1)
+    address = lambda number, street, kind, tail: F.concat(number.cast("string"), gap, street, F.lit(kind), F.col("place"), tail)
+    number, street, tail = F.col("number"), F.col("street"), F.concat(gap, F.col("postal"))
+    whole = address(number, street, " Street, ", tail)
+    addresses = (
+        ((0,), F.lit("")),
+        ((9,), address(number, street, " St ", tail)),
+        ((10,), address(number, street, " Street, ", F.lit(""))),
+        ((11,), address(number + 1, street, " Street, ", tail)),
+        ((12,), F.concat(F.lit("Unit 4, "), whole)),
+        ((13,), F.concat(F.col("place"), tail)),
+        ((14,), F.upper(whole)),
+        ((15,), address(number, without(street, 2), " Street, ", tail)),
+    )
+    return r.select(
+        F.concat(F.lit("S"), F.col("source").cast("string"), F.lit("-"), (k * 2 + F.col("copy")).cast("string")).alias("entity_id"),
+        F.concat(F.when(clean, plain).otherwise(_by(_digit("h", 1), names, plain)), suffix).alias("business_name"),
+        F.when(clean, whole).otherwise(_by(_digit("h", 3), addresses, whole)).alias("business_address"),
+        F.when(~clean & (_digit("h", 4) % 4 == 0), F.concat(gap, F.upper("home"))).otherwise(F.col("home")).alias("country"),
+        k.alias("business"),
     )
 
 
 def truth(e: DataFrame) -> DataFrame:
-    known = e.filter("length(body) > 0").select("entity_id", "body")
+    """s1_id, cand_id: the master's record and each other one of the same business."""
+    known = e.select("entity_id", "business")
     s1, rest = known.filter("entity_id like 'S1-%'").withColumnRenamed("entity_id", "s1_id"), known.filter("entity_id not like 'S1-%'").withColumnRenamed("entity_id", "cand_id")
-    return s1.join(rest, "body").select("s1_id", "cand_id").distinct()
+    return s1.join(rest, "business").select("s1_id", "cand_id").distinct()
 
 
 class Tables:
-    """The derived tables that queries start from; each is a plan, computed when a query asks for it."""
+    """The derived tables that queries start from; each is a plan, computed when a query asks for it.
+
+    Normalised entities are written once a query, as every plan over pairs reads them several times.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: blocking.Config = blocking.Config()):
         self.spark, self.config = spark, config
         self.entities = entities(spark, sf_dir)
-        self.normal = blocking.normalised(self.entities)
-        self.s1 = self.normal.filter("entity_id like 'S1-%'")
-        self.targets = self.normal.filter("entity_id not like 'S1-%'")
-        self.ids = splits.s1_ids(self.s1)
+        self.ids = splits.s1_ids(self.entities.filter("entity_id like 'S1-%'"))
+
+    @cached_property
+    def normal(self) -> DataFrame:
+        return src.settled(blocking.normalised(self.entities))
+
+    @property
+    def s1(self) -> DataFrame:
+        return self.normal.filter("entity_id like 'S1-%'")
+
+    @property
+    def targets(self) -> DataFrame:
+        return self.normal.filter("entity_id not like 'S1-%'")
 
     @property
     def links(self) -> DataFrame:
@@ -59,11 +140,6 @@ class Tables:
     def pairs(self) -> DataFrame:
         return blocking.candidates(self.s1, self.targets, self.config)
 
-    @property
-    def few(self) -> DataFrame:
-        """Candidates of b1, b4, b5a and b5b only: those that the SQL of the queries on texts holds; queries without SQL take all pairs."""
-        return self.pairs.filter(F.col("pass_mask").bitwiseAND(1 | 8 | 16 | 32) != 0).select("s1_id", "cand_id", "source", "pass_mask")
-
     @property
     def scored(self) -> DataFrame:
         made = features.pair_features(blocking.labelled(self.pairs, self.links), self.normal, RULE)
@@ -263,23 +339,23 @@ def _similarity(t, pairs, **made):
 
 @query
 def sim_levenshtein(t):
-    return _similarity(t, t.few, distance=lambda a, b: similarity.levenshtein(a["norm_name"], b["norm_name"]), similarity=lambda a, b: similarity.levenshtein_similarity(a["norm_name"], b["norm_name"]))
+    return _similarity(t, t.pairs, distance=lambda a, b: similarity.levenshtein(a["norm_name"], b["norm_name"]), similarity=lambda a, b: similarity.levenshtein_similarity(a["norm_name"], b["norm_name"]))
 
 
 @query
 def sim_jaccard3(t):
-    return _similarity(t, t.few, name=lambda a, b: similarity.jaccard(a["name_3grams"], b["name_3grams"]), address=lambda a, b: similarity.jaccard(a["addr_3grams"], b["addr_3grams"]))
+    return _similarity(t, t.pairs, name=lambda a, b: similarity.jaccard(a["name_3grams"], b["name_3grams"]), address=lambda a, b: similarity.jaccard(a["addr_3grams"], b["addr_3grams"]))
 
 
 @query
 def sim_dice_overlap(t):
     words = lambda e: F.array_distinct(e["name_tokens"])
-    return _similarity(t, t.few, jaccard=lambda a, b: similarity.jaccard(words(a), words(b)), dice=lambda a, b: similarity.dice(words(a), words(b)), overlap=lambda a, b: similarity.overlap(words(a), words(b)))
+    return _similarity(t, t.pairs, jaccard=lambda a, b: similarity.jaccard(words(a), words(b)), dice=lambda a, b: similarity.dice(words(a), words(b)), overlap=lambda a, b: similarity.overlap(words(a), words(b)))
 
 
 @query
 def sim_numeric(t):
-    return _similarity(t, t.few, overlap=lambda a, b: similarity.number_overlap(a["addr_tokens"], b["addr_tokens"]))
+    return _similarity(t, t.pairs, overlap=lambda a, b: similarity.number_overlap(a["addr_tokens"], b["addr_tokens"]))
 
 
 @query
@@ -289,8 +365,9 @@ def sim_jaro_winkler(t):
 
 @query
 def pair_features(t):
+    """All features but Jaro-Winkler."""
     names = tuple(f for f in features.FEATURES if f != "name_jaro_winkler")
-    return features.pair_features(t.few.drop("source", "pass_mask"), t.normal, names)
+    return features.pair_features(t.pairs.drop("source", "pass_mask"), t.normal, names)
 
 
 @query
@@ -395,9 +472,21 @@ def negative_sample(t):
     return matching.sample_negatives(blocking.labelled(t.pairs, t.links), 500).select("s1_id", "cand_id", "label")
 
 
+def _val(t) -> DataFrame:
+    return splits.split_ids(t.ids).filter("split = 'val'").select("s1_id")
+
+
 def _lr(t) -> DataFrame:
-    made = features.pair_features(blocking.labelled(t.pairs, t.links), t.normal).cache()
-    return matching.score(made, matching.fit(made))
+    """Pairs of the validation split, scored by a regression that was fitted on those of the train split."""
+    pairs = src.settled(blocking.labelled(t.pairs, t.links).join(splits.split_ids(t.ids), "s1_id"))
+    made = features.pair_features(pairs, t.normal)
+    model = matching.fit(matching.sample_negatives(made.filter("split = 'train'"), MOST_NEGATIVES))
+    return matching.score(made.filter("split = 'val'"), model).select("s1_id", "cand_id", "source", "label", "probability")
+
+
+@query
+def lr_scores(t):
+    return _lr(t)
 
 
 @query
@@ -407,7 +496,95 @@ def lr_metrics(t):
 
 @query
 def lr_threshold_sweep(t):
-    return evaluate.entity_metrics(_lr(t).select("s1_id", "cand_id", "probability"), t.links, t.ids)
+    return evaluate.entity_metrics(_lr(t), splits.for_split(t.links, _val(t)), _val(t))
+
+
+@query
+def lr_best_threshold(t):
+    return evaluate.best_threshold(evaluate.entity_metrics(_lr(t), splits.for_split(t.links, _val(t)), _val(t)), rounded=True).select("threshold", "s1_tp", "s1_fp", "s1_fn", "s1_f05")
+
+
+@query
+def rule_best_threshold_rounded(t):
+    sweep = evaluate.entity_metrics(t.scored, t.links, t.ids, evaluate.THRESHOLDS, "score")
+    return evaluate.best_threshold(sweep, rounded=True).select("threshold", "s1_tp", "s1_fp", "s1_fn")
+
+
+@query
+def recall_percent(t):
+    return evaluate.recall_percent(t.pairs, t.links, t.ids)
+
+
+@query
+def split_truth(t):
+    return splits.for_split(t.links, _val(t))
+
+
+@query
+def normalised_store(t):
+    """Only the targets of true links, normalised after they were chosen."""
+    return src.normalised_store(t.entities, t.links.select("cand_id")).select("entity_id", "norm_name", "norm_address", "name_tokens", "addr_tokens")
+
+
+@query
+def raw_lookup(t):
+    found = blocking.in_stage(t.pairs, "b1").select("s1_id", "cand_id")
+    return blocking.lookup(found, t.entities.drop("business"), "cand_id").select("s1_id", "cand_id", "business_name", "business_address")
+
+
+@query
+def frequent_postal_codes(t):
+    return profile.frequent_postal_codes(t.entities)
+
+
+@query
+def tsv_entities(t):
+    """Entities written as quoted tab-separated files and read back."""
+    path = src.scratch(t.spark)
+    src.write_entities(t.entities, path)
+    return src.read_entities(t.spark, path)
+
+
+@query
+def tsv_entities_raw(t):
+    """The targets of true links among the files' rows, split at every tab, quotes and all."""
+    path = src.scratch(t.spark)
+    src.write_entities(t.entities, path)
+    return src.only_ids(src.read_entities(t.spark, path, quoted=False), t.links.select("cand_id"))
+
+
+@query
+def tsv_ground_truth(t):
+    path = src.scratch(t.spark)
+    src.write_ground_truth(t.links, t.ids, path)
+    return src.links(src.read_ground_truth(t.spark, path))
+
+
+@query
+def matches_by_source(t):
+    path = src.scratch(t.spark)
+    src.write_ground_truth(t.links, t.ids, path)
+    s2, s3 = src.by_source(F.col("matched"))
+    return src.read_ground_truth(t.spark, path).select(F.col("source1_entity_id").alias("s1_id"), F.size(s2).alias("s2_links"), F.size(s3).alias("s3_links"))
+
+
+@query
+def split_id_files(t):
+    """Both split files, written one id a line and read back, by resolved paths."""
+    folder = src.scratch(t.spark)
+    split = splits.split_ids(t.ids)
+    found = []
+    for name in ("train", "val"):
+        path = src.table_path(folder, name, f"{name}_ids")
+        src.write_ids(split.filter(F.col("split") == name), path)
+        found.append(src.read_ids(t.spark, path).withColumn("split", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
+@query
+def entity_tables(t):
+    """Rows, blanks and distinct values of each column in each source, as a long table."""
+    return profile.column_tables(t.entities.drop("business"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,38 +83,43 @@ def by_cardinality(scored: DataFrame, links: DataFrame, s1_ids: DataFrame, thres
     return groups.join(counts, "group", "left").fillna(0, ["entities", "exact"]).withColumn("exact_pct", F.round(ratio(F.col("exact") * 100.0, F.col("entities")), 2))
 
 
-def staged() -> Column:
-    """The names of all passes and cumulative stages that a pair's mask is part of, as an array."""
-    masks = {p: 1 << i for i, p in enumerate(PASSES)} | STAGES
-    return F.array_compact(F.array(*[F.when(F.col("pass_mask").bitwiseAND(m) != 0, F.lit(s)) for s, m in masks.items()]))
+def masks() -> dict[str, int]:
+    """All passes and cumulative stages, as masks over passes."""
+    return {p: 1 << i for i, p in enumerate(PASSES)} | STAGES
 
 
-def stage_names(spark) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in ({p: 0 for p in PASSES} | STAGES)], "stage string")
+def stage_links(pairs: DataFrame, links: DataFrame, s1_ids: DataFrame) -> DataFrame:
+    """A row a stage: entities, true and found links into S2, S3 and both, and entities with a link that isn't found.
+
+    One aggregate an entity counts for all stages, so links aren't multiplied by them.
+    """
+    asked = s1_ids.select(F.col(s1_ids.columns[0]).alias("s1_id")).distinct()
+    true = links.join(asked, "s1_id", "left_semi").filter(F.substring("cand_id", 1, 3).isin("S2-", "S3-")).distinct()
+    hit = true.join(pairs.select("s1_id", "cand_id", "pass_mask"), ["s1_id", "cand_id"], "left").fillna(0, ["pass_mask"])
+    into = {s: F.col("cand_id").startswith(f"{s.upper()}-") for s in ("s2", "s3")}
+    found = [F.count_if(c & (F.col("pass_mask").bitwiseAND(m) != 0)).alias(f"found_{s}_{i}") for i, m in enumerate(masks().values()) for s, c in into.items()]
+    each = hit.groupBy("s1_id").agg(*[F.count_if(c).alias(f"true_{s}") for s, c in into.items()], *found)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    all_true = F.col("true_s2") + F.col("true_s3")
+    sums = [c for i in range(len(masks())) for c in (total(f"found_s2_{i}", f"found_s2_{i}"), total(f"found_s3_{i}", f"found_s3_{i}"), F.count_if(all_true > F.col(f"found_s2_{i}") + F.col(f"found_s3_{i}")).alias(f"incomplete_{i}"))]
+    summed = each.agg(total("true_s2", "true_s2"), total("true_s3", "true_s3"), *sums).crossJoin(F.broadcast(asked.agg(F.count("*").alias("total_s1"))))
+    rows = F.array(*[F.struct(F.lit(s).alias("stage"), *[F.col(f"{c}_{i}").alias(c) for c in ("found_s2", "found_s3", "incomplete")]) for i, s in enumerate(masks())])
+    full = summed.select("total_s1", "true_s2", "true_s3", F.inline(rows))
+    return full.withColumn("true_all", F.col("true_s2") + F.col("true_s3")).withColumn("found_all", F.col("found_s2") + F.col("found_s3"))
 
 
 def recall_by_stage(pairs: DataFrame, links: DataFrame, s1_ids: DataFrame) -> DataFrame:
-    """A row a stage: true and found links into S2, S3 and both, and how many entities have all their links found."""
-    asked = s1_ids.select(F.col(s1_ids.columns[0]).alias("s1_id")).distinct()
-    true = links.join(asked, "s1_id", "left_semi").filter(F.substring("cand_id", 1, 3).isin("S2-", "S3-"))
-    hit = true.join(pairs.select("s1_id", "cand_id", staged().alias("stages")), ["s1_id", "cand_id"], "left").withColumn("stages", F.coalesce("stages", F.array().cast("array<string>")))
-    into = lambda s: F.col("cand_id").startswith(s)
-    per_entity = hit.crossJoin(F.broadcast(stage_names(hit.sparkSession))).groupBy("stage", "s1_id").agg(
-        F.count_if(into("S2-")).alias("true_s2"), F.count_if(into("S3-")).alias("true_s3"),
-        F.count_if(into("S2-") & F.array_contains("stages", F.col("stage"))).alias("found_s2"), F.count_if(into("S3-") & F.array_contains("stages", F.col("stage"))).alias("found_s3"),
-    )
-    summed = per_entity.groupBy("stage").agg(*[F.sum(c).alias(c) for c in ("true_s2", "true_s3", "found_s2", "found_s3")], F.count_if(F.col("true_s2") + F.col("true_s3") > F.col("found_s2") + F.col("found_s3")).alias("incomplete"))
-    total = asked.agg(F.count("*").alias("total_s1"))
-    full = stage_names(hit.sparkSession).join(summed, "stage", "left").fillna(0).crossJoin(F.broadcast(total))
-    full = full.withColumn("complete_s1", F.col("total_s1") - F.col("incomplete")).withColumn("true_all", F.col("true_s2") + F.col("true_s3")).withColumn("found_all", F.col("found_s2") + F.col("found_s3"))
+    """A row a stage: true and found links into S2, S3 and both, and how many entities have all their links found. Recall of nothing is 1."""
+    full = stage_links(pairs, links, s1_ids).withColumn("complete_s1", F.col("total_s1") - F.col("incomplete"))
     recalls = [ratio(F.col(f"found_{s}"), F.col(f"true_{s}"), 1.0).alias(f"recall_{s}") for s in ("s2", "s3", "all")]
     return full.select("stage", "total_s1", "true_s2", "found_s2", "true_s3", "found_s3", "true_all", "found_all", "complete_s1", *recalls, ratio(F.col("complete_s1") * 100.0, F.col("total_s1"), 100.0).alias("coverage_pct"))
 
 
-def at_place(column: str, share: float) -> Column:
-    """sorted[floor(n * share)] of a group's values: the exact order statistic, not an interpolation."""
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) * F.lit(float(share))).cast("int"))
+def recall_percent(pairs: DataFrame, links: DataFrame, s1_ids: DataFrame) -> DataFrame:
+    """A row a stage: recall into S2, S3 and both, and share of entities with all links, in percent with two decimals. Recall of nothing is 0."""
+    full = stage_links(pairs, links, s1_ids)
+    recalls = [F.round(ratio(F.col(f"found_{s}") * 100.0, F.col(f"true_{s}")), 2).alias(f"recall_{s}_pct") for s in ("s2", "s3", "all")]
+    return full.select("stage", "true_all", "found_all", *recalls, F.round(ratio((F.col("total_s1") - F.col("incomplete")) * 100.0, F.col("total_s1")), 2).alias("coverage_pct"))
 
 
 def candidate_distribution(pairs: DataFrame, s1_ids: DataFrame) -> DataFrame:
@@ -123,12 +128,10 @@ def candidate_distribution(pairs: DataFrame, s1_ids: DataFrame) -> DataFrame:
     Order statistics come from a histogram of the counts, whose rows are bounded by the largest count.
     """
     asked = s1_ids.select(F.col(s1_ids.columns[0]).alias("s1_id")).distinct()
-    counts = pairs.join(asked, "s1_id", "left_semi").select("s1_id", F.explode(staged()).alias("stage")).groupBy("stage", "s1_id").agg(F.count("*").alias("k"))
-    total = asked.agg(F.count("*").alias("n"))
-    some = counts.groupBy("stage", "k").agg(F.count("*").alias("entities"))
-    rest = stage_names(pairs.sparkSession).join(counts.groupBy("stage").agg(F.count("*").alias("with_some")), "stage", "left").fillna(0).crossJoin(F.broadcast(total))
-    zeros = rest.select("stage", F.lit(0).cast("long").alias("k"), (F.col("n") - F.col("with_some")).alias("entities")).filter("entities > 0")
-    return distribution(some.union(zeros), "stage")
+    found = pairs.groupBy("s1_id").agg(*[F.count_if(F.col("pass_mask").bitwiseAND(m) != 0).alias(s) for s, m in masks().items()])
+    each = asked.join(found, "s1_id", "left").fillna(0)
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("k")) for s in masks()])
+    return distribution(each.select(F.inline(stages)).groupBy("stage", "k").agg(F.count("*").alias("entities")), "stage")
 
 
 def distribution(histogram: DataFrame, by: str) -> DataFrame:

@@ -113,3 +113,15 @@ def key_alignment(links: DataFrame, entities: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("x.words", "y.words"))
     country, norm = F.col("x.country") == F.col("y.country"), (F.col("x.norm") == F.col("y.norm")) & (F.col("x.norm") != "")
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(country).alias("same_country"), F.count_if(F.col("x.raw") == F.col("y.raw")).alias("same_raw"), F.count_if(norm).alias("same_norm"), F.count_if(norm & country).alias("same_norm_country"), F.count_if(common >= 1).alias("one_word"), F.count_if((common >= 2) | ((F.size("x.words") == 1) & (common == 1))).alias("two_words"))
+
+
+def column_tables(entities: DataFrame) -> DataFrame:
+    """source, column, rows, blank, blank_pct, distinct_values and longest: each column of each source, from one pass."""
+    columns = [c for c in entities.columns if c != "entity_id"]
+    value = {c: text.strip(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+    long = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in value.items()]))
+    source = F.substring_index("entity_id", "-", 1).alias("source")
+    by_value = entities.select(source, long).groupBy("source", "column", "value").agg(F.count("*").alias("n"))
+    rows = F.sum("n")
+    blank = F.coalesce(F.sum(F.when(F.col("value") == "", F.col("n"))), F.lit(0))
+    return by_value.groupBy("source", "column").agg(rows.alias("rows"), blank.alias("blank"), F.round(blank * 100.0 / rows, 2).alias("blank_pct"), F.count_if(F.col("value") != "").alias("distinct_values"), F.max(F.length("value")).alias("longest"))

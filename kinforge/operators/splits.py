@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,19 +13,27 @@ def s1_ids(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("entity_id").alias("s1_id")).distinct()
 
 
-def split_ids(ids: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """s1_id, split: exactly floor(n * share) ids go to val, those with the smallest hash of id and seed.
+def placed_by(rows: DataFrame, digest: Column) -> DataFrame:
+    """rows with _place, their rank from 1 by a hexadecimal digest (ties in any order).
 
-    The cut is found from a histogram of the hashes, so ids aren't ranked in one task.
+    A histogram over the digests' first digits tells what lies before each slice, so rows are only ranked within slices.
     """
-    from pyspark.sql import Window as W
+    sliced = rows.withColumn("_digest", digest).withColumn("_slice", F.conv(F.substring("_digest", 1, 5), 16, 10).cast("int"))
+    before = W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ahead = sliced.groupBy("_slice").agg(F.count("*").alias("_n")).select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    placed = sliced.join(ahead, "_slice").withColumn("_place", F.col("_ahead") + F.row_number().over(W.partitionBy("_slice").orderBy("_digest")))
+    return placed.drop("_digest", "_slice", "_ahead")
+
+
+def lowest(rows: DataFrame, digest: Column, most: int) -> DataFrame:
+    """The rows with the most smallest digests."""
+    return placed_by(rows, digest).filter(F.col("_place") <= most).drop("_place")
 
+
+def split_ids(ids: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """s1_id, split: exactly floor(n * share) ids go to val, those with the smallest MD5 of id and seed."""
     wanted = int(ids.count() * share)
-    sliced = ids.select(F.col(ids.columns[0]).alias("s1_id")).withColumn("_slice", F.pmod(F.xxhash64("s1_id", F.lit(seed)), F.lit(1 << 16)))
-    one = W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    ahead = sliced.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(one), F.lit(0))).drop("_n")
-    inside = W.partitionBy("_slice").orderBy(F.xxhash64("s1_id", F.lit(seed + 1)), "s1_id")
-    placed = sliced.join(ahead, "_slice").withColumn("_place", F.col("_ahead") + F.row_number().over(inside))
+    placed = placed_by(ids.select(F.col(ids.columns[0]).alias("s1_id")), F.md5(F.concat_ws(":", "s1_id", F.lit(seed))))
     return placed.select("s1_id", F.when(F.col("_place") <= wanted, "val").otherwise("train").alias("split"))
 
 

@@ -32,13 +32,39 @@ def _grams(x: str) -> str:
 
 
 WITH = {}
-WITH["w"] = r"SELECT doc_id, lang, string_split_regex(trim(text), '[ \t\r\n]+') AS t FROM documents"
-WITH["ent"] = r"""SELECT 'S' || CAST(doc_id % 3 + 1 AS VARCHAR) || '-' || CAST(doc_id AS VARCHAR) AS entity_id,
-  array_to_string(t[1:4], ' ') || CASE doc_id % 5 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Pvt. Ltd.' WHEN 3 THEN ' & Co' ELSE '' END AS business_name,
-  CASE WHEN doc_id % 31 = 0 THEN '' ELSE CAST(100 + length(array_to_string(t[5:8], ' ')) AS VARCHAR) || ' ' || array_to_string(t[5:8], ' ') END AS business_address,
-  CASE WHEN doc_id % 7 = 0 THEN ' ' || upper(lang) ELSE lang END AS country, array_to_string(t[5:40], ' ') AS body FROM w"""
+
+
+def _digit(h: str, i: int) -> str:
+    return f"(strpos('0123456789abcdef', substr({h}, {i}, 1)) - 1)"
+
+
+def _word(h: str, start: int, n: int) -> str:
+    return f"translate(substr({h}, {start}, {n}), '0123456789abcdef', 'aeioubcdfglmnrst')"
+
+
+WITH["biz"] = f"""SELECT c_custkey AS k, b, lower(n_name) AS home, {_word('b', 1, 6)} AS w1,
+  {_word("md5('w' || CASE WHEN lot < 6 THEN '0' ELSE CAST(c_custkey % 2048 AS VARCHAR) END)", 1, 5)} AS w2,
+  CASE WHEN lot BETWEEN 58 AND 63 THEN 'harbour' ELSE {_word('b', 9, 6)} END AS street,
+  CASE WHEN lot BETWEEN 58 AND 63 THEN 'quayside' ELSE {_word("md5('l' || CAST(c_custkey % 211 AS VARCHAR))", 1, 7)} END AS place,
+  CASE WHEN lot BETWEEN 58 AND 63 THEN 100 ELSE c_custkey * 37 % 900 + 100 END AS num, ' ' || CAST(10000 + c_custkey * 13 % 89999 AS VARCHAR) AS tail
+  FROM (SELECT *, 16 * {_digit('b', 20)} + {_digit('b', 21)} AS lot FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS b FROM customer)) JOIN nation ON n_nationkey = CASE WHEN lot < 64 THEN 0 ELSE c_nationkey END"""
+WITH["rec"] = f"""SELECT biz.*, s, c, md5(k || ':' || s || ':' || c) AS h, num || ' ' || street || ' Street, ' || place || tail AS whole
+  FROM biz, (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1)) v(s, c)
+  WHERE s = 1 OR ({_digit("md5(k || ':' || s)", 1)} >= 2 AND c = 0) OR {_digit("md5(k || ':' || s)", 1)} = 15"""
+WITH["ent"] = f"""SELECT 'S' || s || '-' || (2 * k + c) AS entity_id, k AS business,
+  CASE WHEN s = 1 THEN w1 || ' ' || w2 ELSE CASE {_digit('h', 1)} WHEN 8 THEN w1 WHEN 9 THEN w2 || ' ' || w1 WHEN 10 THEN w1[1:2] || w1[4:] || ' ' || w2 WHEN 11 THEN upper(w1) || '  ' || w2
+    WHEN 12 THEN '-- ' || w1 || ' ' || w2 WHEN 13 THEN replace(w1, 'e', 'é') || ' ' || w2 WHEN 14 THEN w1[1:3] || ' ' || w2 WHEN 15 THEN w1 || w2 ELSE w1 || ' ' || w2 END END
+    || [' Inc.', ' LLC', ' Pvt. Ltd.', ' & Co', ''][CASE WHEN s = 1 OR {_digit('h', 2)} < 10 THEN {_digit('b', 23)} ELSE {_digit('h', 2)} END % 5 + 1] AS business_name,
+  CASE WHEN s = 1 THEN whole ELSE CASE {_digit('h', 3)} WHEN 0 THEN '' WHEN 9 THEN num || ' ' || street || ' St ' || place || tail WHEN 10 THEN num || ' ' || street || ' Street, ' || place
+    WHEN 11 THEN (num + 1) || ' ' || street || ' Street, ' || place || tail WHEN 12 THEN 'Unit 4, ' || whole WHEN 13 THEN place || tail WHEN 14 THEN upper(whole)
+    WHEN 15 THEN num || ' ' || street[1:1] || street[3:] || ' Street, ' || place || tail ELSE whole END END AS business_address,
+  CASE WHEN s <> 1 AND {_digit('h', 4)} % 4 = 0 THEN ' ' || upper(home) ELSE home END AS country FROM rec"""
 WITH["s0"] = f"SELECT entity_id, business_name AS raw_name, business_address AS raw_address, lower(trim(country)) AS country, {_std('business_name')} AS n0, {_std('business_address')} AS norm_address FROM ent"
-WITH["s1n"] = f"SELECT *, regexp_replace(regexp_replace(regexp_replace(n0, ' {_any(MULTI_WORD_SUFFIXES)}$', ''), '^({_any(SUFFIXES)} )+', ''), '( {_any(SUFFIXES)})+$', '') AS n1 FROM s0"
+WITH["s1m"] = f"SELECT *, coalesce(list_filter({_list(MULTI_WORD_SUFFIXES)}, lambda m: ends_with(n0, ' ' || m))[1], '') AS tail FROM s0"
+WITH["s1w"] = f"SELECT *, string_split(CASE WHEN tail = '' THEN n0 ELSE left(n0, length(n0) - length(tail) - 1) END, ' ') AS w FROM s1m"
+WITH["s1i"] = f"SELECT *, list_transform(w, lambda t: NOT list_contains({_list(SUFFIXES)}, t)) AS own FROM s1w"
+WITH["s1h"] = "SELECT *, list_slice(w, CASE WHEN list_contains(own, true) THEN list_position(own, true) ELSE len(w) END, len(w)) AS head FROM s1i"
+WITH["s1n"] = f"SELECT *, array_to_string(list_slice(head, 1, greatest(1, coalesce(list_max(list_filter(range(1, len(head) + 1), lambda i: NOT list_contains({_list(SUFFIXES)}, head[i]))), 1))), ' ') AS n1 FROM s1h"
 WITH["s2n"] = f"SELECT *, CASE WHEN len(string_split(n1, ' ')) > 2 THEN array_to_string(list_filter(string_split(n1, ' '), lambda t: NOT list_contains({_list(SUFFIXES)}, t)), ' ') ELSE n1 END AS norm_name FROM s1n"
 WITH["nrm"] = f"""SELECT entity_id, raw_name, raw_address, country, norm_name, norm_address,
   list_filter(string_split(norm_name, ' '), lambda t: length(t) >= 2) AS name_tokens, list_filter(string_split(norm_address, ' '), lambda t: length(t) >= 2) AS addr_tokens,
@@ -62,10 +88,10 @@ for _name, _b2, _b5 in (("", 5000, 500), ("_low", 20, 20)):
     WITH[f"gone{_name}"] = f"SELECT source, pass, key, n FROM kc WHERE (pass = 1 AND n > {_b2}) OR (pass >= 4 AND n > {_b5})"
     WITH[f"kept{_name}"] = f"SELECT p.* FROM post p ANTI JOIN gone{_name} USING (source, pass, key)"
     WITH[f"pairs{_name}"] = f"SELECT q.entity_id AS s1_id, p.entity_id AS cand_id, p.source, bit_or(1 << p.pass) AS pass_mask FROM kall q JOIN kept{_name} p USING (pass, key) WHERE q.source = 'S1' GROUP BY ALL"
-WITH["few"] = "SELECT * FROM pairs WHERE pass_mask & 57 <> 0"
-WITH["links"] = "SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b USING (body) WHERE length(a.body) > 0 AND a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%'"
+WITH["links"] = "SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b USING (business) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%'"
 WITH["ids"] = "SELECT DISTINCT entity_id AS s1_id FROM ent WHERE entity_id LIKE 'S1-%'"
-WITH["duo"] = "SELECT p.s1_id, p.cand_id, x, y FROM few p JOIN nrm x ON x.entity_id = p.s1_id JOIN nrm y ON y.entity_id = p.cand_id"
+WITH["split"] = "SELECT s1_id, CASE WHEN row_number() OVER (ORDER BY md5(s1_id || ':42')) <= floor((SELECT count(*) FROM ids) * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM ids"
+WITH["duo"] = "SELECT p.s1_id, p.cand_id, x, y FROM pairs p JOIN nrm x ON x.entity_id = p.s1_id JOIN nrm y ON y.entity_id = p.cand_id"
 
 
 def _ratio(a, b, value):
@@ -106,11 +132,26 @@ _LEV = _ratio("length(x.norm_name)", "length(y.norm_name)", "1.0::DOUBLE - leven
 _WORDS, _PLACES = (_d("x", "name_tokens"), _d("y", "name_tokens")), (_d("x", "addr_tokens"), _d("y", "addr_tokens"))
 _EXACT, _ADDR = "x.norm_name <> '' AND x.norm_name = y.norm_name", "x.norm_address <> '' AND x.norm_address = y.norm_address"
 _COUNTRY = "x.country <> '' AND x.country = y.country"
+
+
+def _jaro_winkler(a, b):
+    """Greedy matches within the window, first free place first; half transpositions; up to four letters of common prefix."""
+    window = f"greatest(greatest(length({a}), length({b})) // 2 - 1, 0)"
+    free = f"list_filter(range(greatest(e.p - {window}, 1), least(e.p + {window}, length({b})) + 1), lambda j: substr({b}, j, 1) = e.c AND NOT list_contains(m.t, j))"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda i: {{'c': substr({a}, i, 1), 'p': i, 't': CAST([] AS BIGINT[])}})"
+    matched = f"list_reduce({letters}, lambda m, e: CASE WHEN len({free}) = 0 THEN m ELSE {{'c': m.c || e.c, 'p': e.p, 't': list_append(m.t, ({free})[1])}} END, {{'c': '', 'p': CAST(0 AS BIGINT), 't': CAST([] AS BIGINT[])}})"
+    k, moved = "length(g.c)", f"len(list_filter(range(1, length(g.c) + 1), lambda i: substr(g.c, i, 1) <> substr({b}, list_sort(g.t)[i], 1))) / 2.0::DOUBLE"
+    jaro = f"(({k}::DOUBLE / length({a}) + {k}::DOUBLE / length({b}) + ({k} - {moved}) / {k}) / 3.0::DOUBLE)"
+    same = " + ".join(f"CASE WHEN length({a}) >= {i} AND length({b}) >= {i} AND substr({a}, 1, {i}) = substr({b}, 1, {i}) THEN 1 ELSE 0 END" for i in range(1, 5))
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE list_transform([{matched}], lambda g: CASE WHEN {k} = 0 THEN 0.0::DOUBLE ELSE {jaro} + ({same}) * 0.1::DOUBLE * (1.0::DOUBLE - {jaro}) END)[1] END"
+
+
+_JW = _jaro_winkler("x.norm_name", "y.norm_name")
 FEATURE_SQL = dict(
     zip(
         FEATURES,
         (
-            _flag(_EXACT), _jac(*_WORDS), _dice(*_WORDS), _over(*_WORDS), _jac("x.name_3grams", "y.name_3grams"), None, _LEV, _flag("coalesce(x.name_tokens[1], '') <> '' AND x.name_tokens[1] = y.name_tokens[1]"),
+            _flag(_EXACT), _jac(*_WORDS), _dice(*_WORDS), _over(*_WORDS), _jac("x.name_3grams", "y.name_3grams"), _JW, _LEV, _flag("coalesce(x.name_tokens[1], '') <> '' AND x.name_tokens[1] = y.name_tokens[1]"),
             "CASE WHEN greatest(length(x.norm_name), length(y.norm_name)) > 0 THEN least(length(x.norm_name), length(y.norm_name))::DOUBLE / greatest(length(x.norm_name), length(y.norm_name)) ELSE 1.0::DOUBLE END", "abs(length(x.norm_name) - length(y.norm_name))::DOUBLE",
             _flag("x.norm_name = ''"), _flag("y.norm_name = ''"), _flag(_ADDR), _jac(*_PLACES), _over(*_PLACES), _jac("x.addr_3grams", "y.addr_3grams"), _over(_numbers("x"), _numbers("y")), "abs(length(x.norm_address) - length(y.norm_address))::DOUBLE",
             _flag("x.norm_address = ''"), _flag("y.norm_address = ''"), _flag("x.norm_address = '' AND y.norm_address = ''"), _flag(f"({_EXACT}) AND ({_ADDR})"), _flag(_COUNTRY), _flag("y.entity_id LIKE 'S2-%'"), _flag("y.entity_id LIKE 'S3-%'"),
@@ -237,7 +278,26 @@ _BODIES = {
     "sim_jaccard3": f"SELECT s1_id, cand_id, {_jac('x.name_3grams', 'y.name_3grams')} AS name, {_jac('x.addr_3grams', 'y.addr_3grams')} AS address FROM duo",
     "sim_dice_overlap": f"SELECT s1_id, cand_id, {_jac(*_WORDS)} AS jaccard, {_dice(*_WORDS)} AS dice, {_over(*_WORDS)} AS overlap FROM duo",
     "sim_numeric": f"SELECT s1_id, cand_id, {_over(_numbers('x'), _numbers('y'))} AS overlap FROM duo",
-    "pair_features": "SELECT s1_id, cand_id, " + ", ".join(f"{q} AS {n}" for n, q in FEATURE_SQL.items() if q) + " FROM duo",
+    "pair_features": "SELECT s1_id, cand_id, " + ", ".join(f"{q} AS {n}" for n, q in FEATURE_SQL.items() if n != "name_jaro_winkler") + " FROM duo",
+    "pair_features_full": "SELECT s1_id, cand_id, " + ", ".join(f"{q} AS {n}" for n, q in FEATURE_SQL.items()) + " FROM duo",
+    "sim_jaro_winkler": f"SELECT s1_id, cand_id, {_JW} AS jaro_winkler FROM duo",
+    "negative_sample": "SELECT s1_id, cand_id, label FROM scored WHERE label = 1 UNION ALL SELECT s1_id, cand_id, label FROM (SELECT * FROM scored WHERE label = 0 ORDER BY md5('42:' || s1_id || ':' || cand_id) LIMIT 500)",
+    "split_hash": "SELECT s1_id, split FROM split",
+    "split_id_files": "SELECT s1_id AS entity_id, split FROM split",
+    "split_truth": "SELECT l.* FROM links l JOIN split USING (s1_id) WHERE split = 'val'",
+    "rule_best_threshold_rounded": "SELECT threshold, s1_tp, s1_fp, s1_fn FROM metrics ORDER BY round(s1_f05, 4) DESC, threshold LIMIT 1",
+    "recall_percent": """SELECT stage, s2 + s3 AS true_all, f2 + f3 AS found_all, round(CASE WHEN s2 = 0 THEN 0.0::DOUBLE ELSE f2 * 100.0::DOUBLE / s2 END, 2) AS recall_s2_pct, round(CASE WHEN s3 = 0 THEN 0.0::DOUBLE ELSE f3 * 100.0::DOUBLE / s3 END, 2) AS recall_s3_pct,
+      round(CASE WHEN s2 + s3 = 0 THEN 0.0::DOUBLE ELSE (f2 + f3) * 100.0::DOUBLE / (s2 + s3) END, 2) AS recall_all_pct, round((n - lost) * 100.0::DOUBLE / n, 2) AS coverage_pct
+      FROM (SELECT stage, count(*) FILTER (cand_id LIKE 'S2-%') AS s2, count(*) FILTER (cand_id LIKE 'S3-%') AS s3, count(*) FILTER (cand_id LIKE 'S2-%' AND hit) AS f2, count(*) FILTER (cand_id LIKE 'S3-%' AND hit) AS f3, count(DISTINCT s1_id) FILTER (NOT hit) AS lost
+        FROM (SELECT stage, s1_id, cand_id, coalesce(pass_mask & m <> 0, false) AS hit FROM links CROSS JOIN stg LEFT JOIN pairs USING (s1_id, cand_id)) GROUP BY stage), (SELECT count(*) AS n FROM ids)""",
+    "normalised_store": "SELECT entity_id, norm_name, norm_address, name_tokens, addr_tokens FROM nrm WHERE entity_id IN (SELECT cand_id FROM links)",
+    "raw_lookup": "SELECT p.s1_id, p.cand_id, e.business_name, e.business_address FROM pairs p JOIN ent e ON e.entity_id = p.cand_id WHERE pass_mask & 1 <> 0",
+    "frequent_postal_codes": f"SELECT postal, count(*) AS n FROM (SELECT list_filter(string_split({_std('business_address')}, ' '), lambda t: regexp_matches(t, '^([0-9]{{5}}|[0-9]{{6}})$'))[1] AS postal FROM ent) WHERE postal IS NOT NULL GROUP BY postal ORDER BY n DESC, postal LIMIT 10",
+    "tsv_entities": "SELECT entity_id, trim(business_name) AS business_name, trim(business_address) AS business_address, trim(country) AS country FROM ent",
+    "tsv_entities_raw": "SELECT entity_id, CASE WHEN business_name LIKE '%\"%' THEN '\"' || replace(trim(business_name), '\"', '\"\"') || '\"' ELSE trim(business_name) END AS business_name, CASE WHEN business_address = '' THEN '\"\"' ELSE trim(business_address) END AS business_address, trim(country) AS country FROM ent WHERE entity_id IN (SELECT cand_id FROM links)",
+    "tsv_ground_truth": "SELECT s1_id, cand_id FROM links",
+    "matches_by_source": "SELECT s1_id, CAST(s2_links AS INTEGER) AS s2_links, CAST(s3_links AS INTEGER) AS s3_links FROM lc",
+    "entity_tables": "SELECT source, c AS column, count(*) AS rows, count(*) FILTER (v = '') AS blank, round(count(*) FILTER (v = '') * 100.0::DOUBLE / count(*), 2) AS blank_pct, count(DISTINCT v) FILTER (v <> '') AS distinct_values, CAST(max(length(v)) AS INTEGER) AS longest FROM (SELECT substr(entity_id, 1, 2) AS source, unnest(['business_name', 'business_address', 'country']) AS c, trim(unnest([business_name, business_address, country])) AS v FROM ent) GROUP BY ALL",
     "rule_scores": "SELECT s1_id, cand_id, score FROM scored WHERE score > 0",
     "rule_pairwise_metrics": f"SELECT tp, fp, fn, tn, {_PP[0]} AS precision, {_PP[1]} AS recall, {_f(*_PP, ('1.25', '0.25'))} AS f05, {_f(*_PP, ('2.0', '1.0'))} AS f1 FROM (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM scored)",
     "rule_threshold_sweep": "SELECT * FROM metrics",
@@ -250,7 +310,7 @@ _BODIES = {
     "addr_overlap_diagnostic": "SELECT count(*) AS missed_links, count(*) FILTER (p) AS shared_postal, count(*) FILTER (b) AS shared_building, count(*) FILTER (r) AS shared_rare, count(*) FILTER (a AND NOT (p OR b OR r)) AS only_common, count(*) FILTER (NOT a) AS no_overlap FROM (SELECT m.s1_id, m.cand_id, coalesce(bool_or(postal), false) AS p, coalesce(bool_or(building), false) AS b, coalesce(bool_or(rare), false) AS r, count(token) > 0 AS a FROM missed1 m LEFT JOIN shared USING (s1_id, cand_id) GROUP BY ALL)",
     "missed_address_tokens": "SELECT * FROM shared",
     "useful_signals": "SELECT signal, count(*) AS links FROM (SELECT token AS signal FROM shared WHERE distinctive UNION ALL SELECT 'POSTAL:' || token FROM shared WHERE postal UNION ALL SELECT 'NUM:' || token FROM shared WHERE building) GROUP BY signal ORDER BY links DESC, signal LIMIT 50",
-    "split_checks": "SELECT n AS total, n - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS train, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS val, 0 AS overlap, 0 AS uncovered, 0 AS uncovered_truth, true AS ok FROM (SELECT count(*) AS n FROM ids)",
+    "split_checks": "SELECT *, overlap = 0 AND uncovered = 0 AND uncovered_truth = 0 AND train + val = total AS ok FROM (SELECT (SELECT count(*) FROM ids) AS total, (SELECT count(DISTINCT s1_id) FROM split WHERE split = 'train') AS train, (SELECT count(DISTINCT s1_id) FROM split WHERE split = 'val') AS val, (SELECT count(*) FROM (SELECT s1_id FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS overlap, (SELECT count(*) FROM ids ANTI JOIN split USING (s1_id)) AS uncovered, (SELECT count(DISTINCT s1_id) FROM links ANTI JOIN split USING (s1_id)) AS uncovered_truth)",
     "target_checks": "SELECT missing_targets, repeated_ids, missing_targets = 0 AND repeated_ids = 0 AS ok FROM (SELECT count(*) AS missing_targets FROM links WHERE cand_id NOT IN (SELECT entity_id FROM ent)), (SELECT count(*) AS repeated_ids FROM (SELECT entity_id FROM ent GROUP BY 1 HAVING count(*) > 1))",
     "smoke_ids": "SELECT s1_id FROM ids ORDER BY s1_id LIMIT 50",
     "target_subset": "SELECT entity_id, o AS ordinal FROM (SELECT *, greatest(60, (SELECT count(DISTINCT cand_id) FROM links WHERE cand_id LIKE 'S2-%')) AS target, count(*) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT entity_id, CAST(string_split(entity_id, '-')[2] AS BIGINT) AS o, entity_id IN (SELECT cand_id FROM links) AS r FROM ent WHERE entity_id LIKE 'S2-%')) WHERE r OR before < target",

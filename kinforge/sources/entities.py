@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +16,28 @@ from kinforge.functions.text import strip
 COLUMNS = ("entity_id", "business_name", "business_address", "country")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where none is set, a local session gets a temporary one; a cluster has to name it.
+    """
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="kinforge-")
+        sc.setCheckpointDir(shared)
+    return f"{shared}/scratch-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once below the shared folder and read back, so that neither later plans nor lost executors compute it again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table_path(folder: str, split: str, source: str) -> str:
     """Where a source of a split lies; any split but train is the test split."""
     kind = "train" if split == "train" else "test"
@@ -27,6 +51,19 @@ def read_entities(spark: SparkSession, path: str, quoted: bool = True, multi_lin
     return raw.select(*[strip(F.col(c)).alias(c) for c in COLUMNS])
 
 
+def write_entities(entities: DataFrame, path: str) -> None:
+    """An entity table as quoted tab-separated files with headers."""
+    told = entities.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in COLUMNS])
+    told.write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_ground_truth(links: DataFrame, s1_ids: DataFrame, path: str) -> None:
+    """A row an entity with the ids that it matches, comma-joined in order; blank for none."""
+    matched = links.groupBy(F.col("s1_id").alias("source1_entity_id")).agg(F.array_join(F.array_sort(F.collect_set("cand_id")), ",").alias("matched_entity_ids"))
+    asked = s1_ids.select(F.col(s1_ids.columns[0]).alias("source1_entity_id")).distinct()
+    asked.join(matched, "source1_entity_id", "left").fillna("", ["matched_entity_ids"]).write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"')
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """source1_entity_id, matched (array); of repeated rows the last in the file counts."""
     raw = with_ordinal(spark.read.csv(path, sep="\t", header=True, schema="source1_entity_id string, matched_entity_ids string", quote='"', escape='"'))
@@ -45,6 +82,13 @@ def by_source(matched):
     return F.filter(matched, lambda x: x.startswith("S2-")), F.filter(matched, lambda x: x.startswith("S3-"))
 
 
+def normalised_store(entities: DataFrame, ids: DataFrame | None = None, normaliser=None) -> DataFrame:
+    """Normalised entities, only those that are asked for: the others go before anything is made of them. None asks for all."""
+    from kinforge.operators.blocking import normalised
+
+    return normalised(entities if ids is None else only_ids(entities, ids), normaliser)
+
+
 def with_ordinal(df: DataFrame) -> DataFrame:
     """The rows with their place in the file, from each partition's size and the place within it."""
     placed = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
@@ -91,16 +135,17 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def report_text(report: DataFrame, rows: int = 1000) -> str:
-    """A small report as indented JSON."""
-    return json.dumps([r.asDict(recursive=True) for r in report.limit(rows).collect()], indent=2, default=str)
+def report_text(report: DataFrame) -> str:
+    """A report as indented JSON, all of its rows: reports are aggregates, and the text is made on the driver."""
+    return json.dumps([r.asDict(recursive=True) for r in report.toLocalIterator()], indent=2, default=str)
 
 
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+    """A fitted model as one line of JSON."""
+    SparkSession.active().createDataFrame([(model.told(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load_model(path: str):
-    from pyspark.ml import PipelineModel
+    from kinforge.operators.matching import LinearModel
 
-    return PipelineModel.load(path)
+    return LinearModel.read(SparkSession.active().read.text(path).first().value)

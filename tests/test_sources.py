@@ -36,5 +36,6 @@ def test_ids_and_ordinals(spark, tmp_path):
     assert sorted(r.ordinal for r in placed.collect()) == list(range(100))
     assert src.table_path("d", "validation", "source2").endswith("test/test_source2.tsv")
     assert '"n": 1' in src.report_text(spark.createDataFrame([(1,)], "n int"))
+    assert src.report_text(spark.range(1500)).count('"id"') == 1500
     src.write_report(ids, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 3

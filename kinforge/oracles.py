@@ -316,4 +316,5 @@ _BODIES = {
     "target_subset": "SELECT entity_id, o AS ordinal FROM (SELECT *, greatest(60, (SELECT count(DISTINCT cand_id) FROM links WHERE cand_id LIKE 'S2-%')) AS target, count(*) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT entity_id, CAST(string_split(entity_id, '-')[2] AS BIGINT) AS o, entity_id IN (SELECT cand_id FROM links) AS r FROM ent WHERE entity_id LIKE 'S2-%')) WHERE r OR before < target",
     "sample_in_order": "SELECT entity_id, CAST(string_split(entity_id, '-')[2] AS BIGINT) AS ordinal FROM ent WHERE entity_id IN (SELECT s1_id FROM links) ORDER BY ordinal LIMIT 10",
 }
+_BODIES["index_stats_default"] = _BODIES["index_stats"].replace("gone_low", "gone")
 ORACLE_SQL = {name: sql(body) for name, body in _BODIES.items()}

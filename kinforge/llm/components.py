@@ -3,7 +3,8 @@
 Every round each node hooks to the smallest of its neighbours and itself, follows one more step, and the edges are drawn
 again between the hooks. Only local minima survive a round, so the number of nodes that still have edges halves at
 least; rounds grow with the logarithm of the longest chain. Hooks come from partial minima, so a node with very many
-edges doesn't meet in one task, and edges are never collected.
+edges doesn't meet in one task, and edges are never collected. Hooks go to the other tables by broadcast while they are
+few enough (``runtime.small``), so that a root of very many nodes isn't one key of a shuffle; beyond that they are joined.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinforge.llm.runtime import settle
+from kinforge.llm.runtime import settle, small
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +24,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hooks = ends.select(F.col("b").alias("node"), F.col("a").alias("to")).union(ends.select("a", "a")).union(ends.select("a", "b")).groupBy("node").agg(F.min("to").alias("to"))
         hooks = settle(hooks.select("node", F.least("node", "to").alias("to")))
         onward = hooks.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        hooks = settle(hooks.join(onward, "to").select("node", F.col("next").alias("to")))
+        hooks = small(settle(hooks.join(small(onward), "to").select("node", F.col("next").alias("to"))))
         labels = settle(labels.join(hooks.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         of_a, of_b = hooks.select(F.col("node").alias("a"), F.col("to").alias("x")), hooks.select(F.col("node").alias("b"), F.col("to").alias("y"))
         drawn = ends.join(of_a, "a").join(of_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -274,7 +274,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     caps = settle(member.groupBy("cap").agg(F.count("*").alias("n"), F.max("angle").alias("radius")))
 
     # Pairs of caps that share a bucket, by their leaders.
-    large = caps.filter("n > 1")
+    large = small(settle(caps.filter("n > 1")))
     codes = rows.select(F.col("c").alias("cap"), *CODED)
     alone = usable.join(large.select("cap").join(member, "cap").select("c"), "c", "left_anti")
     alone = alone.select(table_keys().alias("key"), "c", F.lit(0.0).alias("radius"), *CODED)

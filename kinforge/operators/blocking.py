@@ -1,5 +1,8 @@
 """Blocking: keys of six passes, postings, document-frequency pruning, and candidate pairs by equi-joins on keys.
 
+Keys are counted first; those that are pruned or hot are few, and reach the postings by broadcast, so that postings are
+shuffled once, to meet the queries.
+
 All passes go through one exploded postings table and one join; the passes that found a pair are bits of one mask, so
 that every individual and cumulative stage is a filter on the pairs.
 """
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinforge.functions import text
 from kinforge.functions.similarity import char_grams
+from kinforge.sources.entities import settled
 
 # Pass names and the other names that configurations use for them.
 PASSES = ("b1", "b2", "b3", "b4", "b5a", "b5b")
@@ -33,6 +37,10 @@ GENERIC_ADDRESS = tuple(
 )
 
 
+#: Postings of a key and source that one task meets, and rows of a table that is broadcast.
+HOT, BROADCAST_ROWS = 10_000, 2_000_000
+
+
 @dataclass(frozen=True)
 class Config:
     passes: tuple[str, ...] = PASSES
@@ -156,11 +164,33 @@ def index_stats(normal: DataFrame, config: Config = Config()) -> DataFrame:
     return sizes.join(counts, "source", "left").fillna(0, zeros)
 
 
+def large_keys(postings: DataFrame, config: Config = Config(), hot: int | None = None) -> DataFrame:
+    """source, pass, key, n, gone: the keys that pruning drops, and of the others those with more than hot postings; written once.
+
+    There are at most as many as postings divided by the least of those limits.
+    """
+    gone = F.coalesce(F.col("n") > most_postings(config), F.lit(False))
+    return settled(key_counts(postings).withColumn("gone", gone).filter(F.col("gone") | (F.col("n") > (hot or HOT))))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few enough rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidates(queries: DataFrame, targets: DataFrame, config: Config = Config()) -> DataFrame:
-    """s1_id, cand_id, source, pass_mask: pairs that share a key which survives pruning; both sides are normalised."""
-    postings = prune(keys(targets, config), config)
-    asked = keys(queries, config).select(F.col("entity_id").alias("s1_id"), "pass", "key")
-    found = asked.join(postings.withColumnRenamed("entity_id", "cand_id"), ["pass", "key"])
+    """s1_id, cand_id, source, pass_mask: pairs that share a key which survives pruning; both sides are normalised.
+
+    Postings of a key that has very many are dealt out, and meet every query with that key in as many tasks.
+    """
+    postings, asked = keys(targets, config), keys(queries, config)
+    large = large_keys(postings, config)
+    gone = few(large.filter("gone").select("source", "pass", "key"))
+    hot = few(settled(large.filter("not gone").groupBy("pass", "key").agg(F.ceil(F.sum("n") / HOT).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    postings = postings.join(gone, ["source", "pass", "key"], "left_anti").join(hot, ["pass", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("entity_id"), salts).cast("int")).drop("salts")
+    asked = asked.join(hot, ["pass", "key"], "left").select(F.col("entity_id").alias("s1_id"), "pass", "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    found = asked.join(postings.withColumnRenamed("entity_id", "cand_id"), ["pass", "key", "salt"])
     return found.groupBy("s1_id", "cand_id", "source").agg(F.bit_or(F.expr("shiftleft(1, pass)")).alias("pass_mask"))
 
 

@@ -59,3 +59,15 @@ def test_recall_grows_with_stages(spark, data):
     found = [got[s].found_all for s in order]
     assert found == sorted(found) and all(got[s].true_all == t.links.count() for s in order)
     assert t.pairs.select(F.countDistinct("s1_id", "cand_id") == F.count("*")).first()[0]
+
+
+def test_hot_keys_are_dealt_out(spark, data, monkeypatch):
+    from kinforge.catalog import Tables
+
+    t = Tables(spark, data)
+    want = t.pairs
+    monkeypatch.setattr(blocking, "HOT", 3)
+    large = blocking.large_keys(blocking.keys(t.targets))
+    assert large.filter("not gone").count() > 0 and large.filter("not gone and n <= 3").count() == 0
+    got = t.pairs
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

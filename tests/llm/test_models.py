@@ -314,6 +314,44 @@ def test_secrets(spark, odd, none, docs):
     assert secret_scan.find_secrets(none, path).count() == 0
 
 
+def brute_random(text, encoding, base):
+    """Runs of key characters, found letter by letter, that cost more than a token for 2.2 (cased like a word and without digits: 2.0) characters."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    digests = {32, 40, 56, 64, 96, 128}
+    found, start = [], None
+    for i, c in enumerate(text + "\0"):
+        if c in key:
+            start = i if start is None else start
+        elif start is not None:
+            run, at, start = text[start:i], start, None
+            if len(run) < 16 or not any(c.isalpha() for c in run) or any(a < i and at < b for a, b in base):
+                continue
+            hexadecimal = all(c in "0123456789abcdefABCDEF" for c in run)
+            groups = run.split("-")
+            if hexadecimal and len(run) in digests or [len(g) for g in groups] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF" for g in groups for c in g):
+                continue
+            word = not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run.istitle())
+            if len(run) < (2.0 if word else 2.2) * len(encoding.encode_ordinary(run)):
+                found.append((at, i))
+    return found
+
+
+def test_random_spans_agree_with_a_plain_version(spark, odd, docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding = secret_scan.vocabulary(path)
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=- .é")
+    made = ["".join(rng.choice(letters, rng.integers(10, 400))) for _ in range(300)]
+    for df in (spark.createDataFrame(list(enumerate([*CASES, *made])), "doc_id long, text string"), odd, docs):
+        got = secret_scan.find_secrets(df, path).collect()
+        told = sorted((repr(r.doc_id), sorted((s.start, s.end) for s in r.found if s.kind == "random")) for r in got)
+        want = []
+        for r in df.select("doc_id", "text").collect():
+            base = [tuple(map(int, x.split(":")[1:])) for x in brute_secrets(r.text or "")]
+            want.append((repr(r.doc_id), brute_random(r.text or "", encoding, base)))
+        assert told == sorted(want)
+
+
 def test_random_strings_of_letters_alone():
     encoding = secret_scan.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(1)

@@ -6,11 +6,13 @@ order of exponential keys -ln(u) / quality, u being a hash of id and seed.
 
 The prefix sums behind that run over slices of the keys' logarithm, STEP of them to a unit. Quality only shifts that
 logarithm, so whatever a source's quality, a slice holds at most 1 / (e * STEP) of the rows of any one quality. Slices are
-summed GROUP at a time first, and the groups after that. So no source is sorted, and no source's slices are summed, in one
-task; only one row a source is, to share the words out.
+summed GROUP at a time first, and the groups after that. Where a source's budget ends inside a slice, that slice alone is
+sorted, to find the last document that fits; every other row only compares itself with that one, so that neither texts
+nor rows are shuffled. Only one row a source meets in one task, to share the words out.
 
 Null and empty texts have no words, no weight in the order and nothing to take; long texts are counted whole. A null source is a
-source of its own that comes last. Ids may be null or repeat: rows that agree in id and size tie and are interchangeable.
+source of its own that comes last. Ids may be null or repeat: rows that agree in id, size and text tie and are
+interchangeable, and of those at the edge as many are taken as fit.
 A document is taken whole: the one at the edge counts if half of it fits. An empty table gives an empty mix. Other
 columns are returned if keep names them, and ignored if not.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinforge.llm.runtime import settle
+from kinforge.llm.runtime import settle, small
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 #: Slices in a unit of the keys' logarithm, and slices that are summed together.
@@ -48,12 +50,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"),
         word_count(F.col(text_col)).alias("size"),
         letter_share(F.col(text_col)).alias("quality"),
+        F.xxhash64(text_col).alias("hash"),
     )
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = rows.withColumn("key", -F.log(u) / F.col("quality")).withColumn("bucket", F.floor(STEP * F.log("key")).cast("int"))
-    if not {text_col} & set(keep):  # narrow: words are counted once
-        rows = settle(rows)
-    slices = rows.groupBy("s", "sk", "bucket").agg(F.sum("size").alias("slice"))
+    narrow = settle(rows if text_col not in keep else rows.drop("kept"))
+    if text_col not in keep:
+        rows = narrow
+    slices = narrow.groupBy("s", "sk", "bucket").agg(F.sum("size").alias("slice"))
 
     # One row per source from here on.
     sources = slices.groupBy("s", "sk").agg(F.sum("slice").alias("source_size"))
@@ -83,9 +87,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     groups = groups.select("sk", "group", upto("words", W.partitionBy("sk").orderBy("group")).alias("before"))
     ahead = slices.withColumn("group", group).withColumn("within", upto("slice", W.partitionBy("sk", "group").orderBy("bucket")))
     ahead = ahead.join(groups, ["sk", "group"]).withColumn("ahead", F.col("before") + F.col("within"))
-    offsets = ahead.select("sk", "bucket", "ahead").join(shares, "sk")
-    within = W.partitionBy("sk", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["sk", "bucket"])
-    fits = (F.col("rest") > 0) & (F.col("ahead") + F.col("inside") + F.col("size") / 2.0 <= F.col("rest"))
-    copies = (F.col("epochs") + F.when(fits, 1).otherwise(0)).cast("long")
-    return placed.select("kept.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    reached = ahead.join(shares, "sk").filter((F.col("rest") > 0) & (F.col("ahead") <= F.col("rest"))).groupBy("sk").agg(F.max(F.struct("bucket", "ahead")).alias("m"))
+    edges = settle(shares.join(reached, "sk", "left").select("sk", "source_size", "target", "epochs", "rest", F.col("m.bucket").alias("edge"), F.col("m.ahead").alias("ahead")))
+
+    # The slice in which a source's budget ends, and the last document that fits.
+    place = F.struct("key", "id", "size", "hash")
+    at_edge = narrow.join(small(edges.select("sk", "edge", "ahead", "rest")), "sk").filter("bucket = edge")
+    inside = upto("size", W.partitionBy("sk").orderBy("key", "id", "size", "hash"))
+    at_edge = at_edge.withColumn("fits", F.col("ahead") + inside + F.col("size") / 2.0 <= F.col("rest")).select("sk", place.alias("place"), "fits")
+    ends = at_edge.groupBy("sk", "place").agg(F.count_if("fits").alias("fitting"), F.count("*").alias("tied")).filter("fitting > 0")
+    ends = ends.groupBy("sk").agg(F.max(F.struct("place", "fitting", "tied")).alias("e")).select("sk", F.col("e.place").alias("end"), "e.fitting", "e.tied")
+    cuts = settle(edges.join(ends, "sk", "left").select("sk", "source_size", "target", "epochs", "edge", "end", "fitting", "tied"))
+
+    placed = rows.join(small(cuts), "sk")
+    here = F.col("bucket") == F.col("edge")
+    tie = F.coalesce(here & (place == F.col("end")), F.lit(False))
+    fits = F.coalesce((F.col("bucket") < F.col("edge")) | here & (place < F.col("end")), F.lit(False)) | tie
+    told = lambda df, fits: df.select("kept.*", "size", "source_size", "target", (F.col("epochs") + F.when(fits, 1).otherwise(0)).cast("long").alias("copies"))
+    if cuts.filter("fitting < tied").isEmpty():
+        out = told(placed, fits)
+    else:
+        some = tie & (F.col("fitting") < F.col("tied"))
+        nth = F.row_number().over(W.partitionBy("sk").orderBy("size"))
+        out = told(placed.filter(~some), fits).unionByName(told(placed.filter(some).withColumn("nth", nth), F.col("nth") <= F.col("fitting")))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))

@@ -364,6 +364,19 @@ def test_random_strings_of_letters_alone():
         assert secret_scan.scan(x, encoding) == []
 
 
+def test_equal_rows_at_the_edge_are_taken_as_far_as_they_fit(spark):
+    """Nameless rows share one key, and so one place in the order."""
+    rows = [(None, "same words here", "a")] * 50 + [(i, "other words", "b") for i in range(200)] + [(None, None, "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 4), (1, 40), (40, 1)):
+        got = mixing.mix(df, keep=["doc_id", "source", "text"], weights=weights)
+        assert got.count() == len(rows)
+        for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= 3
+        narrow = mixing.mix(df, keep=["source"], weights=weights)
+        assert narrow.groupBy("source").sum("taken").exceptAll(got.groupBy("source").sum("taken")).count() == 0
+
+
 def test_a_source_of_low_quality_is_dealt_out_evenly(spark):
     """Digits and markup, where a document's quality weight is small, as well as letters."""
     rows = [(i, "1234567 89 " * 3 + "x" * (i % 3), "s") for i in range(4000)] + [(10_000 + i, "only letters here", "t") for i in range(4000)]

@@ -26,6 +26,8 @@ SPACED_WORD = re.compile(f" [{LETTER}]+")
 #: Entries that a worker's cache may hold, and how many it remembers as seen once: a pre-token is kept from its second miss on.
 #: They bound memory and never touch results.
 CACHE_ENTRIES, ONCE_ENTRIES = 150_000, 150_000
+#: Words that are encoded in one call, whose result takes some hundred bytes a token.
+TOGETHER = 20_000
 
 
 class Recent(dict):
@@ -144,14 +146,16 @@ class Ids:
                         if len(marks) > CACHE_ENTRIES:
                             marks.clear()
                         marks[part] = self._whole(part)
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        every = list(words)
+        for at in range(0, len(every), TOGETHER):
+            some = every[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(cuts) == len(words):
+            if len(cuts) == len(some):
                 ids = ids.tobytes()
-                found.update((x, ids[a:b]) for x, a, b in zip(words, [0, *cuts[:-1]], cuts, strict=True))
+                found.update((x, ids[a:b]) for x, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True))
             else:
-                found.update((x, self._whole(x)) for x in words)
+                found.update((x, self._whole(x)) for x in some)
         for x, parts in mixed:
             found[x] = b"".join([found.get(y) or cache.get(y) or marks.get(y) or self._whole(y) for y in parts])
         return found

@@ -47,25 +47,39 @@ def rule_score(name_exact: str = "name_exact", token_jaccard: str = "name_token_
     return F.when(exact & same, 1.0).when(~exact & (F.col(token_jaccard) >= 0.80) & same, 0.85).otherwise(0.0)
 
 
-def sums_at(rows: DataFrame, means: np.ndarray, scales: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted log-loss of the rows (features, label, weight) at w, its gradient and its Hessian, flat: each task adds up its own rows."""
+def packed(rows: DataFrame, means: np.ndarray, scales: np.ndarray) -> DataFrame:
+    """Rows (features, label, weight) as blocks of doubles: a one, the standardised features, label and weight of each."""
+    width = len(means)
+
+    def each(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([c.to_numpy() for c in b.columns])
+                x[:, :width] = (x[:, :width] - means) / scales
+                block = np.ascontiguousarray(np.column_stack([np.ones(len(x)), x]))
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    return rows.mapInArrow(each, "block binary")
+
+
+def sums_at(blocks: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Weighted log-loss of packed rows at w, its gradient and its Hessian, flat: each task adds up its own rows."""
     width = len(w)
 
     def each(batches):
         total = np.zeros(1 + width + width * width)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.column_stack([np.ones(b.num_rows), (np.column_stack([b.column(i).to_numpy() for i in range(width - 1)]) - means) / scales])
-            y, weight = b.column(width - 1).to_numpy(), b.column(width).to_numpy()
-            z = x @ w
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            total[0] += weight @ (np.logaddexp(0, z) - y * z)
-            total[1 : 1 + width] += x.T @ (weight * (p - y))
-            total[1 + width :] += (x.T @ (x * (weight * p * (1 - p))[:, None])).ravel()
+            for block in b.column(0):
+                rows = np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, width + 2)
+                x, y, weight = rows[:, :width], rows[:, width], rows[:, width + 1]
+                z = x @ w
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                total[0] += weight @ (np.logaddexp(0, z) - y * z)
+                total[1 : 1 + width] += x.T @ (weight * (p - y))
+                total[1 + width :] += (x.T @ (x * (weight * p * (1 - p))[:, None])).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-    summed = rows.mapInArrow(each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    summed = blocks.mapInArrow(each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     total = np.zeros(1 + width + width * width)
     total[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
     return total
@@ -75,8 +89,8 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.
     """The regression with the least ``sum(w ** 2) / 2 + c * weighted log-loss``, the intercept unpenalised, by Newton's method.
 
     labelled has the features and label; an empty table raises ValueError. Features are standardised by their population
-    deviation; one that never varies is only centred. Every step is one pass that leaves a matrix as wide as the
-    features; steps are halved while they don't lessen the loss.
+    deviation; one that never varies is only centred. Rows are packed into blocks once; every step is one pass over them that
+    leaves a matrix as wide as the features; steps are halved while they don't lessen the loss.
     """
     rows = labelled.select(*[F.col(f).cast("double").alias(f) for f in features], F.col("label").cast("double").alias("label"))
     moments = [e(f).alias(f"{n}_{i}") for i, f in enumerate(features) for n, e in (("mean", F.avg), ("std", F.stddev_pop))]
@@ -88,13 +102,13 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.
     weight = F.lit(1.0)
     if balanced and 0 < told.positive < told.n:
         weight = F.when(F.col("label") == 1, told.n / (2.0 * told.positive)).otherwise(told.n / (2.0 * (told.n - told.positive)))
-    rows = rows.withColumn("weight", weight).repartition(-(-told.n // FIT_ROWS)).persist()
+    blocks = packed(rows.withColumn("weight", weight).repartition(-(-told.n // FIT_ROWS)), means, scales).persist()
     try:
         width = len(features) + 1
         penalty = np.array([0.0, *[1.0] * len(features)])
         w, step, best = np.zeros(width), np.zeros(width), math.inf
         for _ in range(iterations):
-            total = sums_at(rows, means, scales, w)
+            total = sums_at(blocks, w)
             loss = c * total[0] + 0.5 * (penalty * w) @ w
             if loss > best + 1e-12 * abs(best):
                 step = step / 2
@@ -107,7 +121,7 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, c: float = 1.
                 break
             w = w + step
     finally:
-        rows.unpersist()
+        blocks.unpersist()
     return LinearModel(tuple(features), tuple(means.tolist()), tuple(scales.tolist()), tuple(w[1:].tolist()), float(w[0]))
 
 

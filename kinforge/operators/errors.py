@@ -39,6 +39,7 @@ def error_category(a: str = "e1", b: str = "e2") -> Column:
     names = _jaccard0(x("name_3grams"), y("name_3grams"))
     places = _jaccard0(F.array_distinct(x("addr_tokens")), F.array_distinct(y("addr_tokens")))
     return (
+        # The category labels and their limits.
         F.when((x("norm_address") == "") | (y("norm_address") == ""), "missing_address")
         .when((x("raw_name") != y("raw_name")) & (x("norm_name") == y("norm_name")), "transliteration")
         .when(some & subset, "legal_suffix")
@@ -62,6 +63,7 @@ def missed_category(a: str = "e1", b: str = "e2") -> Column:
     generic = (F.size(F.array_intersect(s, F.array(*[F.lit(w) for w in GENERIC_NAMES]))) > 0) & ((F.size(s) <= 2) | (F.size(t) <= 2))
     long = lambda side: F.array_distinct(F.filter(side("addr_tokens"), lambda w: F.length(w) >= 3))
     return (
+        # The category labels and their limits.
         F.when(x("country") != y("country"), "country-related issue")
         .when((x("raw_name") != y("raw_name")) & (x("norm_name") == y("norm_name")), "transliteration")
         .when(same & (x("name_tokens") != y("name_tokens")), "word-order variation")

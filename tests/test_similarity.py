@@ -53,3 +53,25 @@ def test_edges(spark):
     ).first()
     assert (r.lev, r.l0, r.l1, r.g2, sorted(r.g4), r.g0) == (3, 1.0, 0.0, ["ab"], ["abc", "bcd"], [])
     assert (r.j0, r.j1, r.n, r.n0, r.d, r.o) == (1.0, 0.0, 1.0, 1.0, 0.5, 1.0)
+
+
+def test_gram_codes_share_what_grams_share(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab_0 ") for _ in range(rng.randint(0, 9)))
+    df = spark.createDataFrame([(word(), word()) for _ in range(400)], "a string, b string")
+    grams = [sim.char_grams(F.col(c)) for c in "ab"]
+    codes = [sim.gram_codes(g) for g in grams]
+    assert df.filter(~sim.jaccard(*grams).eqNullSafe(sim.jaccard(*codes)) | (F.size(F.array_distinct(codes[0])) != F.size(grams[0]))).count() == 0
+
+
+def joined(df):
+    """What the optimised plan has above its topmost join, where each expression is computed once a pair."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[0]
+
+
+def test_features_make_sets_once_an_entity(spark, data):
+    from kinforge import catalog
+
+    plan = joined(catalog.QUERIES["pair_features"](spark, data))
+    assert "array_intersect" in plan and not any(f in plan for f in ("lambda", "RLIKE", "array_distinct"))
+    assert plan.count("array_intersect") == 5  # once a set, however many features it has

@@ -75,3 +75,9 @@ def test_features_make_sets_once_an_entity(spark, data):
     plan = joined(catalog.QUERIES["pair_features"](spark, data))
     assert "array_intersect" in plan and not any(f in plan for f in ("lambda", "RLIKE", "array_distinct"))
     assert plan.count("array_intersect") == 5  # once a set, however many features it has
+
+
+def test_numbers_are_found_once_an_entity(spark, data):
+    from kinforge import catalog
+
+    assert not any(f in joined(catalog.QUERIES["sim_numeric"](spark, data)).split("shared#")[0] for f in ("RLIKE", "array_distinct"))

@@ -35,13 +35,17 @@ def blocking_run(entities: DataFrame, links: DataFrame, config: blocking.Config
     }
 
 
-def matching_run(entities: DataFrame, links: DataFrame, split: DataFrame, config: blocking.Config = blocking.Config(), most_negatives: int = 5_000_000, thresholds=evaluate.THRESHOLDS, seed: int = 42) -> dict[str, DataFrame]:
-    """Train on the split's train entities, score those of val, and report metrics, the sweep, cardinality and errors."""
+def matching_run(entities: DataFrame, links: DataFrame, split: DataFrame, config: blocking.Config = blocking.Config(), most_negatives: int | None = None, thresholds=evaluate.THRESHOLDS, seed: int = 42) -> dict[str, DataFrame]:
+    """Train on the split's train entities, score those of val, and report metrics, the sweep, cardinality and errors.
+
+    All train pairs are fitted on; most_negatives bounds the negatives among them, if it is given.
+    """
     normal = blocking.normalised(entities).persist()
     targets = normal.filter(~F.col("entity_id").startswith("S1-"))
     pairs = blocking.labelled(blocking.candidates(sources(normal, "S1"), targets, config), links).join(split, "s1_id")
     made = features.pair_features(pairs, normal).persist()
-    model = matching.fit(matching.sample_negatives(made.filter("split = 'train'"), most_negatives, seed))
+    train = made.filter("split = 'train'")
+    model = matching.fit(train if most_negatives is None else matching.sample_negatives(train, most_negatives, seed))
     val_ids = split.filter("split = 'val'").select("s1_id")
     scored = matching.score(made.filter("split = 'val'"), model).withColumn("rule", matching.rule_score())
     truth = splits.for_split(links, val_ids)

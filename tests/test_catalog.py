@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinforge import catalog
 
@@ -73,6 +74,18 @@ def test_regression_is_fitted_on_one_split_and_judged_on_the_other(spark, data):
     assert all(r.s1_tp + r.s1_fn == len(true) for r in sweep)
 
 
+def test_regression_is_fitted_on_all_train_pairs(spark, data, monkeypatch):
+    """Also with more negatives than a sample of the fit would hold."""
+    t = catalog.Tables(spark, data)
+    want = catalog.blocking.labelled(t.pairs, t.links).join(catalog.splits.split_ids(t.ids), "s1_id").filter("split = 'train'").groupBy("label").count()
+    monkeypatch.setattr(catalog, "MOST_NEGATIVES", 10, raising=False)
+    seen, fit = [], catalog.matching.fit
+    monkeypatch.setattr(catalog.matching, "fit", lambda rows, **k: seen.append(rows) or fit(rows, **k))
+    catalog.QUERIES["lr_best_threshold"](spark, data)
+    total = F.sum("n") if "n" in seen[0].columns else F.count("*")
+    assert len(seen) == 1 and sorted(seen[0].groupBy("label").agg(total).collect()) == sorted(want.collect())
+
+
 def test_index_stats_with_default_limits(spark, data):
     t = catalog.Tables(spark, data)
     got = {r.source: r for r in catalog.QUERIES["index_stats_default"](spark, data).collect()}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinforge import catalog
 from kinforge.operators import blocking, features, kernels
 
 
@@ -14,7 +15,7 @@ def entities(spark, long=False):
     words = ["oak", "ferry", "oakferry", "elm", "x", "yew 77", "elmo", "ferri"] + ["verylongwordofanamethatgoeson" * 3] * long
     name = lambda: rng.choice(["", "*", " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))])
     place = lambda: rng.choice(["", f"{rng.randint(1, 9)}{rng.randint(1, 9)} {rng.choice(['Quay', 'Lowmoor', 'Q'])} {rng.choice(['Street 12', 'St', 'x7 hill'])}"])
-    rows = [(f"S{1 + i % 3}-{i // 3}", name(), place(), rng.choice(["x", "X ", "y", None])) for i in range(240)]
+    rows = [(f"S{1 + i % 3}-{i // (6 if long else 3)}", name(), place(), rng.choice(["x", "X ", "y", None])) for i in range(240)]
     return blocking.normalised(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"))
 
 
@@ -40,6 +41,12 @@ def test_features_of_arrays_are_those_of_expressions(spark, monkeypatch, long):
     assert told(met.listed().select("s1_id", "cand_id", "label")) == told(want.select("s1_id", "cand_id", label))
 
 
+@pytest.mark.parametrize("name", ["pair_features_full"])
+def test_pairs_are_compared_as_arrays(spark, data, name):
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(f in plan.split("MapInArrow")[0] for f in ("array_intersect", "lambda"))
+
+
 def test_groups_go_on_in_later_batches(monkeypatch):
     """Blocks of few rows and pairs of few at a time meet as one block does."""
     import pyarrow as pa

@@ -41,7 +41,7 @@ def test_features_of_arrays_are_those_of_expressions(spark, monkeypatch, long):
     assert told(met.listed().select("s1_id", "cand_id", "label")) == told(want.select("s1_id", "cand_id", label))
 
 
-@pytest.mark.parametrize("name", ["pair_features_full", "sim_jaccard3"])
+@pytest.mark.parametrize("name", ["pair_features_full", "sim_jaccard3", "sim_jaro_winkler"])
 def test_pairs_are_compared_as_arrays(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not any(f in plan.split("MapInArrow")[0] for f in ("array_intersect", "lambda"))
